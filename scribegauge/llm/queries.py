@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
+from .secrets import RULES, scan_secrets
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,11 +32,48 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(kind: str):
+        return F.size(F.filter("spans_found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(r.kind) for r in RULES if r.base]
+    base = F.filter("spans_found", lambda s: s["base"])
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans_found")).alias("spans"))
+
+
+def _spans_sql(rule, order: int) -> str:
+    """DuckDB: the rule's spans as a list of structs (s, o, e), by the lengths of matches and of what lies between them."""
+    pattern = rule.pattern.replace("'", "''")
+    return f"""list_transform(list_filter(range(1, len(regexp_extract_all(t, '{pattern}')) + 1),
+      lambda i: length(regexp_extract_all(t, '{pattern}', {rule.group})[i]) >= {rule.least}),
+      lambda i: {{'s': (list_sum(list_transform(string_split_regex(t, '{pattern}')[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(regexp_extract_all(t, '{pattern}')[1:i - 1], lambda x: length(x))), 0))::BIGINT,
+        'o': {order}, 'e': (list_sum(list_transform(string_split_regex(t, '{pattern}')[1:i], lambda x: length(x))) + list_sum(list_transform(regexp_extract_all(t, '{pattern}')[1:i], lambda x: length(x))))::BIGINT}})"""
+
+
+_KINDS = "[" + ", ".join(f"'{r.kind}'" for r in RULES) + "]"
+_BASES = ", ".join(str(i) for i, r in enumerate(RULES) if r.base)
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS (SELECT doc_id, list_sort(list_concat({", ".join(_spans_sql(r, i) for i, r in enumerate(RULES))})) AS a FROM d)
+SELECT doc_id, {", ".join(f"len(list_filter(a, lambda x: x.o = {i}))::BIGINT AS n_{r.kind}" for i, r in enumerate(RULES) if r.base)},
+  sha256(coalesce(array_to_string(list_transform(list_filter(a, lambda x: x.o IN ({_BASES})), lambda x: ({_KINDS})[x.o + 1] || ':' || x.s || ':' || x.e), ','), '')) AS base_sha256,
+  coalesce(array_to_string(list_transform(a, lambda x: ({_KINDS})[x.o + 1] || ':' || x.s || ':' || x.e), ','), '') AS spans
+FROM f
+"""
+
+
 QUERIES = {
+    "op5_scan_secrets": op5_scan_secrets,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mix_sources": op9_mix_sources,
 }
 
 ORACLE_SQL = {
+    "op5_scan_secrets": OP5_SQL,
     "op8_exact_dedup": OP8_SQL,
 }
