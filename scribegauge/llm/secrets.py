@@ -118,10 +118,11 @@ def trigram_query(pattern: str) -> list[list[list[str]]]:
 
 def trigram_index(texts: DataFrame, trigrams: list[str], text: Column) -> DataFrame:
     """Postings (trigram, __sg_key) of these trigrams in lower-cased texts; equal texts post once."""
-    lowered = F.lower(text)
-    held = F.filter(F.array(*[F.lit(t) for t in trigrams]), lambda t: F.contains(F.col("__sg_low"), t))
-    found = texts.select("__sg_key", lowered.alias("__sg_low")).select("__sg_key", held.alias("__sg_held"))
-    return found.where(F.size("__sg_held") > 0).distinct().select("__sg_key", F.explode("__sg_held").alias("trigram"))
+    grams = F.array(*[F.lit(t) for t in trigrams])
+    # lambdas bind the lower-cased text, so that it is made once; explode_outer, because explode would test its array first
+    held = F.get(F.transform(F.array(F.lower(text)), lambda low: F.filter(grams, lambda t: F.contains(low, t))), F.lit(0))
+    found = texts.select("__sg_key", held.alias("__sg_held")).distinct()
+    return found.select("__sg_key", F.explode_outer("__sg_held").alias("trigram")).where(F.col("trigram").isNotNull())
 
 
 def _candidates(docs: DataFrame, text: Column, queries: dict[int, list[list[list[str]]]]) -> DataFrame:
