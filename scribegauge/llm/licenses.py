@@ -50,7 +50,7 @@ def _shingles(tokens: Column) -> Column:
 
 def _bands(shingles: Column, step: int) -> list[Column]:
     """For each band, the values of windows that begin at every step-th shingle; windows at the end are shorter."""
-    starts = F.sequence(F.lit(0), F.size(shingles) - 1, F.lit(step))
+    starts = F.when(F.size(shingles) > 0, F.sequence(F.lit(0), F.size(shingles) - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
 
     def band(b: int) -> Column:
         return F.transform(starts, lambda i: F.xxhash64(F.lit(b), F.least(*[F.get(shingles, i + k).bitwiseXOR(F.lit(BANDS[b])) for k in range(WIDE)])))
@@ -75,11 +75,13 @@ def licensed(docs: DataFrame, text_column: str = "text", templates: DataFrame |
     seeds = written(known.select("template", F.explode(values).alias("seed")).distinct(), "license-seeds")
 
     text = text_of(text_column)
-    rows = docs.select(text_key(text).alias("__sg_key"), token_hashes(text).alias("__sg_tokens")).select("__sg_key", _shingles(F.col("__sg_tokens")).alias("__sg_all")).where(F.size("__sg_all") > 0)
-    windows = rows.select("__sg_key", F.explode(F.concat(F.col("__sg_all"), *_bands(F.col("__sg_all"), STEP))).alias("seed"))
+    rows = docs.select(text_key(text).alias("__sg_key"), token_hashes(text).alias("__sg_tokens")).select("__sg_key", _shingles(F.col("__sg_tokens")).alias("__sg_all"))
+    windows = rows.select("__sg_key", F.explode_outer(F.concat(F.col("__sg_all"), *_bands(F.col("__sg_all"), STEP))).alias("seed"))
     hits = written(owners_of(windows, seeds).select("__sg_key", "template").distinct(), "license-hits")
     texts = texts_of(docs, text_column, hits.select("__sg_key").distinct())
-    texts = texts.select(F.reverse("__sg_key").alias("__sg_other"), F.array_distinct(_shingles(token_hashes(F.col("__sg_text")))).alias("__sg_all"))
+    # in steps: what a lambda refers to must be a column, or it would be computed anew for every element
+    texts = texts.select(F.reverse("__sg_key").alias("__sg_other"), token_hashes(F.col("__sg_text")).alias("__sg_tokens"))
+    texts = texts.select("__sg_other", F.array_distinct(_shingles(F.col("__sg_tokens"))).alias("__sg_all"))
     pairs = hits.join(texts, F.reverse("__sg_key") == F.col("__sg_other")).join(known, "template")
     wanted = F.array_distinct("__sg_known")
     verdicts = pairs.select("__sg_key", "license", "template", F.size(F.array_intersect(wanted, "__sg_all")).cast("long").alias("matched"), F.size(wanted).cast("long").alias("shingles"))
