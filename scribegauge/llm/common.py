@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: Names that start so are the operators' own; input columns of these names are dropped.
 OWN = "__sg_"
@@ -67,3 +70,25 @@ def crc_of(id_column: str = "doc_id") -> Column:
 
 def unioned(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+def with_python(df: DataFrame, text_column: str, compute: Callable[[list[str | None]], dict[str, Any]], fields: list[StructField], keep_text: bool = True) -> DataFrame:
+    """df plus fields that compute() makes from a batch of texts (null where the text is null). Other columns pass
+    through as Arrow data, untouched. With keep_text false the text column itself is left out of the result."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    as_text = df.schema[text_column].dataType == StringType()
+    rows = df if as_text else df.withColumn("__sg_text", F.col(text_column).cast("string"))
+    source = text_column if as_text else "__sg_text"
+    kept = [f for f in df.schema.fields if keep_text or f.name != text_column]
+    names, schema = [f.name for f in kept], StructType([*kept, *fields])
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = to_arrow_schema(StructType(fields))
+        for batch in batches:
+            made = compute(batch.column(source).to_pylist())
+            columns = [batch.column(n) for n in names] + [pa.array(made[f.name], t.type, from_pandas=True) for f, t in zip(fields, types, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, *(f.name for f in fields)])
+
+    return rows.mapInArrow(mapped, schema)

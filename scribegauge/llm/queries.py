@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
+from .language_id import identify
 from .licenses import CONTAINMENT, TEMPLATES, licensed
 from .mixing import mix_sources
 from .secrets import RULES, scan_secrets
@@ -74,20 +75,27 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "agreeing", "compared")
 
 
+def op7_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return identify(docs, keep_text=False).select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op10_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return licensed(docs).select("doc_id", "license", "template", "matched", "shingles", F.round("containment", 6).alias("containment"))
 
 
-def _shingles_sql(text: str) -> str:
-    tokens = f"list_filter(string_split_regex(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
-    return f"list_distinct(list_transform(range(1, len({tokens}) - 3), lambda i: array_to_string(({tokens})[i:i + 4], ' ')))"
+def _tokens_sql(text: str) -> str:
+    return f"list_filter(string_split_regex(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 
 
+_SHINGLES_SQL = "list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))"
 _TEMPLATE_ROWS = ", ".join("({}, '{}', '{}')".format(i, name, notice.replace("'", "''")) for i, (name, notice) in enumerate(TEMPLATES))
 OP10_SQL = f"""
-WITH t AS (SELECT template, license, {_shingles_sql("notice")} AS k FROM (VALUES {_TEMPLATE_ROWS}) v(template, license, notice)),
-d AS (SELECT doc_id, unnest({_shingles_sql("coalesce(text, '')")}) AS s FROM documents),
+WITH tw AS MATERIALIZED (SELECT template, license, {_tokens_sql("notice")} AS w FROM (VALUES {_TEMPLATE_ROWS}) v(template, license, notice)),
+t AS MATERIALIZED (SELECT template, license, {_SHINGLES_SQL} AS k FROM tw),
+dw AS MATERIALIZED (SELECT doc_id, {_tokens_sql("coalesce(text, '')")} AS w FROM documents),
+d AS (SELECT doc_id, unnest({_SHINGLES_SQL}) AS s FROM dw),
 u AS (SELECT template, license, len(k) AS shingles, unnest(k) AS s FROM t),
 m AS (SELECT doc_id, license, template, shingles, count(*) AS matched FROM d JOIN u USING (s) GROUP BY ALL)
 SELECT doc_id, license, template::INTEGER AS template, matched, shingles::BIGINT AS shingles, round(matched / shingles, 6) AS containment
@@ -96,6 +104,7 @@ FROM m WHERE matched / shingles >= {CONTAINMENT}
 
 
 QUERIES = {
+    "op7_identify_language": op7_identify_language,
     "op6_decontaminate": op6_decontaminate,
     "op10_scan_licenses": op10_scan_licenses,
     "op5_scan_secrets": op5_scan_secrets,
