@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .language_id import identify
 from .licenses import CONTAINMENT, TEMPLATES, licensed
 from .mixing import mix_sources
+from .quality import score_quality
 from .secrets import RULES, scan_secrets
 
 
@@ -103,7 +104,14 @@ FROM m WHERE matched / shingles >= {CONTAINMENT}
 """
 
 
+def op3_score_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_quality(docs, table(spark, sf_dir, "labels"), keep_text=False)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES = {
+    "op3_score_quality": op3_score_quality,
     "op7_identify_language": op7_identify_language,
     "op6_decontaminate": op6_decontaminate,
     "op10_scan_licenses": op10_scan_licenses,
