@@ -13,6 +13,7 @@ from .licenses import CONTAINMENT, TEMPLATES, licensed
 from .mixing import mix_sources
 from .quality import score_quality
 from .secrets import RULES, scan_secrets
+from .url_filter import judge_urls
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +82,10 @@ def op7_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, keep_text=False).select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def op4_judge_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op10_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return licensed(docs).select("doc_id", "license", "template", "matched", "shingles", F.round("containment", 6).alias("containment"))
@@ -111,6 +116,7 @@ def op3_score_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_judge_urls": op4_judge_urls,
     "op3_score_quality": op3_score_quality,
     "op7_identify_language": op7_identify_language,
     "op6_decontaminate": op6_decontaminate,
