@@ -14,6 +14,7 @@ from .mixing import mix_sources
 from .quality import score_quality
 from .secrets import RULES, scan_secrets
 from .url_filter import judge_urls
+from .warc import round_trip
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +87,10 @@ def op4_judge_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
+
+
 def op10_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return licensed(docs).select("doc_id", "license", "template", "matched", "shingles", F.round("containment", 6).alias("containment"))
@@ -116,6 +121,7 @@ def op3_score_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_warc_round_trip": op2_warc_round_trip,
     "op4_judge_urls": op4_judge_urls,
     "op3_score_quality": op3_score_quality,
     "op7_identify_language": op7_identify_language,
