@@ -30,7 +30,7 @@ def _seeds(tokens: Column, masks: tuple[str, ...]) -> Column:
 
 
 def _positions(rows: DataFrame, keep: list[str], masks: tuple[str, ...]) -> DataFrame:
-    return rows.select(*keep, F.posexplode(_seeds(F.col("__sg_tokens"), masks)).alias("__sg_pos", "seed")).withColumn("__sg_pos", (F.col("__sg_pos") / len(masks)).cast("int"))
+    return rows.select(*keep, F.posexplode_outer(_seeds(F.col("__sg_tokens"), masks)).alias("__sg_pos", "seed")).withColumn("__sg_pos", (F.col("__sg_pos") / len(masks)).cast("int"))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", masks: tuple[str, ...] = MASKS, window: int = WINDOW, agreement: float = AGREEMENT) -> DataFrame:

@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .language_id import identify
 from .licenses import CONTAINMENT, TEMPLATES, licensed
 from .mixing import mix_sources
+from .near_dedup import near_dedup
 from .quality import score_quality
 from .secrets import RULES, scan_secrets
 from .url_filter import judge_urls
@@ -91,6 +92,11 @@ def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dedup(docs, keep_text=False).select("doc_id", "class_id", "copy_of", "kept")
+
+
 def op10_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return licensed(docs).select("doc_id", "license", "template", "matched", "shingles", F.round("containment", 6).alias("containment"))
@@ -121,6 +127,7 @@ def op3_score_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_warc_round_trip": op2_warc_round_trip,
     "op4_judge_urls": op4_judge_urls,
     "op3_score_quality": op3_score_quality,
