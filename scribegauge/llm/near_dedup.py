@@ -13,6 +13,8 @@ are joined to components, and the smallest id of each stays.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -111,6 +113,19 @@ def sequences_of(words: np.ndarray, counts: np.ndarray) -> list[str]:
     return [f"{a:016x}{b:016x}" for a, b in zip(*keys, strict=True)]
 
 
+def blocks(texts: list[str], characters: int = 1 << 21) -> Iterator[list[str]]:
+    """Runs of whole texts of about so many characters, so that working arrays stay small."""
+    held, size = [], 0
+    for text in texts:
+        if held and size + len(text) > characters:
+            yield held
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield held
+
+
 def alike(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
     """Whether the edit distance over words is at most (1 - similarity) of the longer text's length."""
     most = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
@@ -180,13 +195,14 @@ def _banded(a: list[int], b: list[int], most: int) -> int:
 
 def _sketched(docs: DataFrame, text_column: str, keep_text: bool) -> DataFrame:
     def compute(texts: list[str | None]) -> dict:
-        words, counts = words_of([t or "" for t in texts])
-        ends = np.cumsum(counts)
-        return {
-            "__sg_sequence": sequences_of(words, counts),
-            "__sg_sketches": [x.view(np.int64) for x in sketches_of(words, counts)],
-            "__sg_words": [words[e - c : e].astype(np.uint32).view(np.int32) for e, c in zip(ends, counts, strict=True)],
-        }
+        made: dict[str, list] = {"__sg_sequence": [], "__sg_sketches": [], "__sg_words": []}
+        for block in blocks([t or "" for t in texts]):
+            words, counts = words_of(block)
+            ends = np.cumsum(counts)
+            made["__sg_sequence"] += sequences_of(words, counts)
+            made["__sg_sketches"] += [x.view(np.int64) for x in sketches_of(words, counts)]
+            made["__sg_words"] += [words[e - c : e].astype(np.uint32).view(np.int32) for e, c in zip(ends, counts, strict=True)]
+        return made
 
     fields = [StructField("__sg_sequence", StringType()), StructField("__sg_sketches", ArrayType(LongType())), StructField("__sg_words", ArrayType(IntegerType()))]
     return with_python(docs, text_column, compute, fields, keep_text)
