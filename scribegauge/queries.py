@@ -104,7 +104,7 @@ def score_pairs(spark, sf_dir):
 def role_scores(spark, sf_dir):
     """The flagship: scored pairs, and their weighted mean by role."""
     scored = score_pairs(spark, sf_dir).withColumn("weight", (F.col("turn") % 3 + 1).cast("double"))
-    return scored.groupBy("role").agg(F.count(F.lit(1)).alias("n"), _rounded(aggregate.weighted_mean(F.col("text_score_90"), F.col("weight")), "weighted_text_score_90"))
+    return scored.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.round(aggregate.weighted_mean(F.col("text_score_90"), F.col("weight")), 3).alias("weighted_text_score_90"))
 
 
 def _document_records(spark, sf_dir):
@@ -350,3 +350,15 @@ ORACLE_SQL = {
       g AS (SELECT conv_id, string_agg(n || chr(10) || k[1] || ' --> ' || k[2] || chr(10) || text || chr(10), chr(10) ORDER BY n) AS srt FROM f GROUP BY conv_id)
       SELECT conv_id::VARCHAR AS audio_id, md5(srt) AS srt_md5, length(srt) AS srt_chars FROM g""",
 }
+
+_ERROR = "CASE WHEN len(a) = 0 THEN CASE WHEN len(b) = 0 THEN 0.0 ELSE 1.0 END ELSE distance::DOUBLE / len(a) END"
+_KEYWORDS = ORACLE_SQL["keyword_f1"].removeprefix(f"WITH {_PAIRS}, ").replace("SELECT conv_id, turn, matched, total, round(CASE WHEN total = 0 THEN 1.0 ELSE matched::DOUBLE / total END, 6)", "SELECT conv_id, turn, CASE WHEN total = 0 THEN 1.0 ELSE matched::DOUBLE / total END")
+_PUNCTUATION = ORACLE_SQL["punctuation_f1"].removeprefix(f"WITH {_PAIRS}, ").replace("w AS MATERIALIZED", "v AS MATERIALIZED").replace("FROM w)", "FROM v)").replace("round(CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END, 6)", "CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END")
+_SCORED = f"""{_PAIR_WORDS}, {_DISTANCE}, {_HALLUCINATION}, kf AS (WITH {_KEYWORDS}), pf AS (WITH {_PUNCTUATION}),
+  z AS (SELECT j.conv_id, j.turn, j.role, {_ERROR} AS error, kf.f1 AS kf1, pf.f1 AS pf1, hs FROM j JOIN d USING (conv_id, turn) JOIN kf USING (conv_id, turn) JOIN pf USING (conv_id, turn)),
+  y AS (SELECT *, 50 * (1 - least(1.0, error)) + 15 * kf1 + 10 + 10 * hs + 5 * pf1 AS score FROM z)"""
+ORACLE_SQL |= {
+    "wer_pairs": f"WITH {_PAIR_WORDS}, {_DISTANCE} SELECT conv_id, turn, distance::BIGINT AS distance, round({_ERROR}, 6) AS error_rate FROM d JOIN w USING (conv_id, turn)",
+    "score_pairs": f"WITH {_SCORED} SELECT conv_id, turn, role, round(error, 6) AS error_rate, round(kf1, 6) AS keyword_f1, round(pf1, 6) AS punctuation_f1, round(hs, 6) AS hallucination_score, round(score, 6) AS text_score_90 FROM y",
+    "role_scores": f"WITH {_SCORED} SELECT role, count(*) AS n, round(sum(score * (turn % 3 + 1)) / sum(turn % 3 + 1), 3) AS weighted_text_score_90 FROM y GROUP BY role",
+}
