@@ -75,7 +75,7 @@ def test_secrets(spark):
 def test_trigram_queries_hold_for_every_match():
     assert trigram_query("[0-9a-f]{32,}") == []
     assert trigram_query("AKIA[A-Z0-9]{12,}") == [[["aki", "kia"]]]
-    assert trigram_query("ab?c") == [] and trigram_query("(foo|ba)x") == []
+    assert trigram_query("ab?c") == [] and trigram_query("(foo|b)x") == []
     assert sorted(map(sorted, trigram_query("colou?r")[0])) == [["col", "lor", "olo"], ["col", "lou", "olo", "our"]]
 
 
