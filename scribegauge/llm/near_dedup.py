@@ -26,6 +26,8 @@ from .components import components
 from .grams import BASE, _powers_of, mixed, packed, word_hashes, words_in
 
 K, TAKEN, SKETCHES, SIMILARITY, LEVELS = 5, 3, 20, 0.8, 3
+#: Sketches that are compared first.
+FIRST = 4
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 1 << 63, SKETCHES, dtype=np.uint64)
 _ODD = _rng.integers(0, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -230,10 +232,8 @@ def _verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFram
     return both.mapInArrow(compared, "node long, leader long, alike boolean")
 
 
-def links_of(classes: DataFrame, words: DataFrame, similarity: float, levels: int) -> DataFrame:
-    """(u, v): links between classes (node, sketches) that share sketches and are alike."""
-    members = classes.select("node", F.posexplode_outer("sketches").alias("band", "sketch")).where(F.col("sketch").isNotNull())
-    members = members.select("node", "band", F.xxhash64("band", "sketch").alias("key"))
+def links_of(members: DataFrame, classes: DataFrame, words: DataFrame, similarity: float, levels: int) -> DataFrame:
+    """(u, v): links between members (node, band, key) that share keys and are alike."""
     found = []
     for level in range(1, levels + 1):
         members = written(members, "near-members")
@@ -253,6 +253,25 @@ def links_of(classes: DataFrame, words: DataFrame, similarity: float, levels: in
     return unioned(found)
 
 
+def linked_classes(classes: DataFrame, words: DataFrame, similarity: float, levels: int) -> DataFrame:
+    """(u, root) for classes (node, sketches) that links connect.
+
+    The first FIRST sketches are compared before the others, and their links joined to components. In the others' buckets
+    a component has one member for each key, so a large group of near copies isn't dealt out sketch by sketch again.
+    """
+    early = _members(classes.withColumn("root", F.col("node"))).where(F.col("band") < FIRST).select("node", "band", "key")
+    links = written(links_of(early, classes, words, similarity, levels), "near-links")
+    roots = components(links)
+    rooted = classes.join(roots, classes["node"] == roots["u"], "left").select("node", F.coalesce("root", "node").alias("root"), "sketches")
+    late = _members(rooted).where(F.col("band") >= FIRST).groupBy("root", "band", "key").agg(F.min("node").alias("node")).select("node", "band", "key")
+    return components(unioned([links, links_of(late, classes, words, similarity, levels)]))
+
+
+def _members(classes: DataFrame) -> DataFrame:
+    members = classes.select("node", "root", F.posexplode_outer("sketches").alias("band", "sketch")).where(F.col("sketch").isNotNull())
+    return members.select("node", "root", "band", F.xxhash64("band", "sketch").alias("key"))
+
+
 def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", similarity: float = SIMILARITY, levels: int = LEVELS, keep_text: bool = True) -> DataFrame:
     """docs plus class_id, copy_of and kept, one row for each row of docs.
 
@@ -270,7 +289,7 @@ def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     classes = rows.groupBy("__sg_sequence").agg(least.alias("least"), F.first("__sg_sketches").alias("sketches"))
     classes = written(classes.select("__sg_sequence", "least", F.col("least.row").alias("node"), "sketches"), "near-classes")
     words = rows.select(F.col("__sg_row").alias("node"), F.col("__sg_words").alias("words"))
-    roots = written(components(links_of(classes.select("node", "sketches"), words, similarity, levels)), "near-roots")
+    roots = written(linked_classes(classes.select("node", "sketches"), words, similarity, levels), "near-roots")
 
     every = roots.select("u", "root").unionByName(roots.select(F.col("root").alias("u"), "root").distinct())
     linked = written(classes.select("node", "least").join(every, F.col("node") == F.col("u")).select("node", "least", "root"), "near-linked")
