@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
-import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from .text import IDEOGRAPHS, SPACES, _nfkc, normalize, replace_matches, strip, strip_events, without_spaces
 
@@ -26,6 +26,11 @@ NUMERAL_RUN = "[零〇一二三四五六七八九十百千万亿两]+"
 MATH_SYMBOL = r"[0-9×xX*＊+\-=÷/]"
 
 
+def bound(value: Column, make) -> Column:
+    """make(value) with the value computed once, as a lambda's variable, however often make() uses it."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
 def _digits(numerals: Column) -> Column:
     return F.translate(numerals, NUMERALS, DIGITS)
 
@@ -47,9 +52,8 @@ def _below_large(stretch: Column) -> Column:
     pairs = F.regexp_extract_all(stretch, F.lit(f"[{NUMERALS}]?[十百千]"), F.lit(0))
 
     def digit(pair: Column) -> Column:
-        found = F.regexp_extract(pair, f"^[{NUMERALS}]", 0)
-        value = F.when(found == "", F.lit("1")).otherwise(_digits(found)).cast("decimal(38,0)")
-        return F.when(value == 0, F.lit(1)).otherwise(value)
+        value = _digits(F.regexp_extract(pair, f"^[{NUMERALS}]", 0))
+        return bound(value, lambda v: F.when(v.isin("", "0"), F.lit("1")).otherwise(v).cast("decimal(38,0)"))
 
     zero = F.lit(0).cast("decimal(38,0)")
     summed = F.aggregate(pairs, zero, lambda s, p: (s + digit(p) * _unit(p, SMALL)).cast("decimal(38,0)"))
@@ -62,9 +66,10 @@ def chinese_integer(token: Column) -> Column:
     stretches = F.regexp_extract_all(token, F.lit("[^万亿]*[万亿]|[^万亿]+"), F.lit(0))
 
     def value(stretch: Column) -> Column:
-        own = _below_large(F.regexp_replace(stretch, "[万亿]$", ""))
-        ended = stretch.rlike("[万亿]$")
-        return F.when(ended & (own == 0), F.lit(1).cast("decimal(38,0)")).otherwise(own) * F.when(ended, _unit(stretch, LARGE)).otherwise(F.lit(1).cast("decimal(38,0)"))
+        ended, one = stretch.rlike("[万亿]$"), F.lit(1).cast("decimal(38,0)")
+        own = bound(F.regexp_replace(stretch, "[万亿]$", ""), _below_large)
+        counted = bound(own, lambda n: F.when(ended & (n == 0), one).otherwise(n))
+        return counted * F.when(ended, _unit(stretch, LARGE)).otherwise(one)
 
     total = F.aggregate(stretches, F.lit(0).cast("decimal(38,0)"), lambda s, x: (s + value(x)).cast("decimal(38,0)"))
     spelled = token.rlike(f"^[{NUMERALS}]+\\z")
@@ -75,7 +80,7 @@ def chinese_decimal(token: Column) -> Column:
     """Digits around the first 点; the fraction has to be plain numerals, an empty whole part is 0. Else null."""
     at = F.instr(token, "点")
     whole, fraction = F.substring(token, F.lit(1), at - 1), F.substring(token, at + 1, F.char_length(token))
-    value = F.when(whole == "", F.lit("0")).otherwise(chinese_integer(whole))
+    value = bound(whole, lambda w: F.when(w == "", F.lit("0")).otherwise(chinese_integer(w)))
     return F.when((at > 0) & fraction.rlike(f"^[{NUMERALS}]+\\z"), F.concat(value, F.lit("."), _digits(fraction)))
 
 
@@ -91,9 +96,13 @@ def mixed_units(token: Column) -> Column:
 
 def number_token(token: Column) -> Column:
     """A matched token's normal form; null for a lone 点."""
-    low = F.replace(F.lower(token), F.lit(","), F.lit(""))
-    other = F.coalesce(mixed_units(low), chinese_decimal(low), F.when(low.rlike(PLAIN_FORM), low), chinese_integer(low), low)
-    return F.when(low != "点", other)
+
+    def normal(low: Column) -> Column:
+        plain = F.when(low.rlike(PLAIN_FORM), low)
+        chinese = F.when(low.rlike(f"[{NUMERALS}十百千万亿点]"), F.coalesce(mixed_units(low), chinese_decimal(low), chinese_integer(low)))
+        return F.when(low != "点", F.coalesce(plain, chinese, low))
+
+    return bound(F.replace(F.lower(token), F.lit(","), F.lit("")), normal)
 
 
 def join_spoken_digits(text: Column) -> Column:
@@ -126,15 +135,24 @@ def substring_similarity(needle: str, haystack: str) -> float:
     return best
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def near_misses(forms: pd.Series, compact: pd.Series, numbers: pd.Series) -> pd.Series:
-    """For each target's forms the best similarity to the text or to one of its numbers."""
+def near_misses(forms: list[str], compact: str, numbers: list[str]) -> float:
+    """A target's best similarity to the text or to one of its numbers."""
+    scores = [substring_similarity("".join(f.split()), compact) for f in forms]
+    return max([0.0, *scores, *(SequenceMatcher(None, f, n).ratio() for f in forms for n in set(numbers))])
+
+
+def with_near_misses(df: DataFrame, forms: str, compact: str, numbers: str, name: str) -> DataFrame:
+    """df plus the near misses of each target's forms, as an array. A step of its own, not a function in an expression:
+    so Spark neither repeats it nor moves it into other expressions."""
+    schema = StructType([*df.schema.fields, StructField(name, ArrayType(DoubleType()))])
 
-    def best(target, text, found) -> float:
-        scores = [substring_similarity("".join(f.split()), text) for f in target]
-        return max([0.0, *scores, *(SequenceMatcher(None, f, n).ratio() for f in target for n in set(found))])
+    def mapped(batches):
+        for batch in batches:
+            rows = zip(*[batch.column(c).to_pylist() for c in (forms, compact, numbers)], strict=True)
+            made = [None if f is None else [near_misses(t or [], c or "", n or []) for t in f] for f, c, n in rows]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.list_(pa.float64()))], names=[*batch.schema.names, name])
 
-    return pd.Series([[best(t, c, n) for t in f] for f, c, n in zip(forms, compact, numbers, strict=True)])
+    return df.mapInArrow(mapped, schema)
 
 
 def math_normal(text: Column) -> Column:

@@ -147,6 +147,28 @@ def allowed(cases: DataFrame, case_ids: list[str]) -> DataFrame:
     return cases.where(F.col("case_id").isin(*case_ids)) if case_ids else cases
 
 
+def by_length(cases: DataFrame, length: str | None = None) -> DataFrame:
+    """All cases, or only 'long' or 'short' ones; a case without a type is short."""
+    long = F.col("case_type").eqNullSafe("real_long_benchmark")
+    if length not in (None, "long", "short"):
+        raise ValueError(f"unknown length: {length}")
+    return cases if length is None else cases.where(long if length == "long" else ~long)
+
+
+def confirmed(cases: DataFrame) -> DataFrame:
+    """Cases that a user confirmed, with the media they come from."""
+    source = first_of(F.col("source.bvid"), F.col("source.url")) if "source" in cases.columns else F.lit(None).cast("string")
+    return cases.where(F.col("review_level") == BENCHMARK_LEVELS[0]).select("case_id", "language", "scenario", source.alias("media"))
+
+
+def clips(cases: DataFrame, audio_root: str, extension: str = "wav") -> DataFrame:
+    """What a materialised clip is listed as: id, path, duration (one that is positive), language and hotwords."""
+    known = F.col("duration_sec").cast("double")
+    seconds = F.coalesce(F.when(known > 0, known), F.when(F.col("end_sec") > F.col("start_sec"), F.col("end_sec") - F.col("start_sec")))
+    path = F.concat(F.lit(audio_root.rstrip("/") + "/"), F.col("case_id").cast("string"), F.lit(f".{extension}"))
+    return cases.select("case_id", path.alias("audio_path"), seconds.alias("duration_sec"), "language", F.coalesce("hotwords", F.array().cast("array<string>")).alias("hotwords"))
+
+
 def last_by_id(rows: DataFrame, position: str = "position") -> DataFrame:
     """One row of each case id: the last in manifest order."""
     ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc(position))))

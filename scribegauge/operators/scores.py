@@ -104,7 +104,8 @@ def with_number_scores(df: DataFrame, nfkc: bool = True) -> DataFrame:
     df = _with(df, {"__targets": F.filter("__targets", lambda t: some(t, "__ref", "__ref_numbers"))})
     df = _with(df, {"__exact": F.transform("__targets", lambda t: some(t, "__hyp", "__hyp_numbers")), "__forms": F.transform("__targets", lambda t: t["forms"])})
     missed = F.transform(F.arrays_zip("__forms", "__exact"), lambda x: F.when(x["__exact"], _none()).otherwise(x["__forms"]))
-    df = _with(df, {"__near": N.near_misses(missed, X.without_spaces(F.col("__hyp")), F.col("__hyp_numbers"))})
+    df = _with(df, {"__missed": missed, "__compact": X.without_spaces(F.col("__hyp"))})
+    df = N.with_near_misses(df, "__missed", "__compact", "__hyp_numbers", "__near")
     scored = F.zip_with("__targets", F.arrays_zip("__exact", "__near"), lambda t, x: F.struct(t["display"].alias("target"), F.when(x["__exact"], 1.0).otherwise(x["__near"]).alias("score")))
     df = _with(df, {"number_target_scores": scored})
     mean = F.when(F.size("number_target_scores") == 0, 1.0).otherwise(F.aggregate("number_target_scores", F.lit(0.0), lambda s, x: s + x["score"]) / F.size("number_target_scores"))

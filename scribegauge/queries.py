@@ -230,7 +230,57 @@ def manifest_violations(spark, sf_dir):
     return audit.violations(raw, texts).select("position", "case_id", "rule", "level")
 
 
-QUERIES = {f.__name__: f for f in (normalized_text, token_counts, cer_pairs, wer_pairs, hybrid_pairs, hallucination_flags, punctuation_f1, keyword_f1, number_extract, score_pairs, role_scores, weighted_overall, weighted_by_scenario, language_scenario_rollup, scope_skip, weight_list, tier_summary, category_profile, duration_buckets, run_rtf, apportioned_seconds, nearest_split, page_marks, chinese_numbers, text_vectors, segment_plans, merged_conversations, conversation_subtitles, manifest_violations)}
+def score_records(spark, sf_dir):
+    """The full record of each pair of turns: by characters, with terms, numbers, hotwords and diagnostics."""
+    strings = F.lit(None).cast("array<string>")
+    terms = F.slice(F.split("reference", " "), 1, 5)
+    df = pairs(spark, sf_dir).withColumns({"case_id": F.concat_ws("-", "conv_id", "turn"), "scenario": F.col("role"), "language": F.lit("ja"), "priority": F.lit("p"), "weight": F.lit(1.0), "primary_error_metric": F.lit("cer"), "status": F.lit("ready"), "review_level": F.lit("user_confirmed_real_audio"), "punctuation": F.lit("normal"), "keywords": terms, "numbers": F.array(F.lit("12"), F.lit("3rd")), "hotwords": terms, "alias_groups": F.array(F.array(F.lit("the"), F.lit("that"))), "itn_domain": F.lit("math_formula"), "itn_domains": strings})
+    out = scores.score_cases(df, "with_hotwords")
+    return out.select("case_id", "scenario", *[_rounded(F.col(c), c) for c in ("effective_weight", "primary_error_rate", "text_score_90", "weighted_text_score_90", "hotword_f1", "number_f1", "math_normalized_error_rate", "math_itn_format_score_10", "japanese_furigana_stripped_text_score_90", "japanese_orthographic_alias_text_score_90")])
+
+
+def hotword_presence(spark, sf_dir):
+    some = F.when(F.col("n_chars") % 3 == 1, F.array().cast("array<string>")).when(F.col("n_chars") % 3 == 2, F.array(F.lit("x")))
+    return aggregate.hotword_presence(document_cases(spark, sf_dir).withColumn("hotwords", some))
+
+
+def manifest_totals(spark, sf_dir):
+    return aggregate.totals(document_cases(spark, sf_dir))
+
+
+def confirmed_cases(spark, sf_dir):
+    return cases.confirmed(document_cases(spark, sf_dir)).select("case_id", "language", "scenario")
+
+
+def marked_punctuation(spark, sf_dir):
+    docs = document_cases(spark, sf_dir).withColumns({"reference": F.col("text"), "method": F.lit(None).cast("string"), "punctuation": F.lit("normal")})
+    return audit.mark_punctuation(docs).where("changed").select("case_id", "punctuation")
+
+
+def case_buckets(spark, sf_dir):
+    kind = F.when(F.col("n_chars") % 4 == 0, "real_long_benchmark").when(F.col("n_chars") % 4 == 1, "composed_benchmark_stress")
+    return document_cases(spark, sf_dir).select("case_id", cases.bucket(kind, F.col("scenario"), F.col("status"), F.col("review_level")).alias("bucket"))
+
+
+def routes(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", cases.route(F.lit("auto"), F.col("value") * 20).alias("pipeline"))
+
+
+def language_hints(spark, sf_dir):
+    hints = [cases.language_hint(F.col("lang"), s).alias(s) for s in ("code_or_null", "code_or_auto", "name", "locale", "code_or_self")]
+    return _table(spark, sf_dir, "documents").select("doc_id", *hints)
+
+
+def first_cases(spark, sf_dir):
+    return cases.first_cases(document_cases(spark, sf_dir), 20).select("case_id", "scenario")
+
+
+def silence_intervals(spark, sf_dir):
+    lines = ["silence_start: 2.5", "silence_start: 3.0", "silence_end: 4.5 | silence_duration: 1.5", "silence_end: 9"]
+    return segments.silences(_inline(spark, [("a", i, x) for i, x in enumerate(lines)], "audio_id string, line_no int, line string"))
+
+
+QUERIES = {f.__name__: f for f in (normalized_text, token_counts, cer_pairs, wer_pairs, hybrid_pairs, hallucination_flags, punctuation_f1, keyword_f1, number_extract, score_pairs, role_scores, weighted_overall, weighted_by_scenario, language_scenario_rollup, scope_skip, weight_list, tier_summary, category_profile, duration_buckets, run_rtf, apportioned_seconds, nearest_split, page_marks, chinese_numbers, text_vectors, segment_plans, merged_conversations, conversation_subtitles, manifest_violations, score_records, hotword_presence, manifest_totals, confirmed_cases, marked_punctuation, case_buckets, routes, language_hints, first_cases, silence_intervals)}
 
 
 # --- SQL -----------------------------------------------------------------------------------------------------------
@@ -362,3 +412,15 @@ ORACLE_SQL |= {
     "score_pairs": f"WITH {_SCORED} SELECT conv_id, turn, role, round(error, 6) AS error_rate, round(kf1, 6) AS keyword_f1, round(pf1, 6) AS punctuation_f1, round(hs, 6) AS hallucination_score, round(score, 6) AS text_score_90 FROM y",
     "role_scores": f"WITH {_SCORED} SELECT role, count(*) AS n, round(sum(score * (turn % 3 + 1)) / sum(turn % 3 + 1), 3) AS weighted_text_score_90 FROM y GROUP BY role",
 }
+ORACLE_SQL |= {
+    "hotword_presence": "SELECT count(*) FILTER (WHERE n_chars % 3 = 0) AS missing, count(*) FILTER (WHERE n_chars % 3 = 2) AS present, count(*) FILTER (WHERE n_chars % 3 = 1) AS explicit_empty FROM documents",
+    "manifest_totals": f"WITH {_CASES} SELECT count(*) AS cases, count(*) FILTER (WHERE status = 'ready') AS ready, count(*) FILTER (WHERE status <> 'ready') AS candidates, coalesce(sum(weight), 0.0) AS raw_weight FROM e",
+    "confirmed_cases": f"WITH {_CASES} SELECT case_id, lang AS language, source AS scenario FROM e WHERE review_level = 'user_confirmed_real_audio'",
+    "marked_punctuation": rf"WITH {_CASES} SELECT case_id, 'none' AS punctuation FROM e WHERE status = 'ready' AND regexp_matches(text, '[^{_SPACES}]') AND NOT regexp_matches(text, '[，。！？；：,.!?;:]')",
+    "case_buckets": f"""WITH {_CASES} SELECT case_id, CASE WHEN status = 'ready' AND review_level IS NOT NULL THEN CASE WHEN n_chars % 4 = 0 THEN 'benchmark_long' ELSE 'benchmark_short' END WHEN n_chars % 4 = 1 THEN 'engineering_stress'
+      WHEN status = 'ready' THEN 'backup_ready' WHEN status = 'deferred' THEN 'candidate_deferred' ELSE 'candidate_needs_reference' END AS bucket FROM e""",
+    "routes": "SELECT event_id, CASE WHEN value * 20 >= 1200 THEN 'vad_chunked' ELSE 'single_pass' END AS pipeline FROM events",
+    "language_hints": "SELECT doc_id, CASE WHEN lang = 'en' THEN 'en' END AS code_or_null, CASE WHEN lang = 'en' THEN 'en' ELSE 'auto' END AS code_or_auto, CASE WHEN lang = 'en' THEN '英文' ELSE 'auto' END AS name, 'en-US' AS locale, lang AS code_or_self FROM documents",
+    "first_cases": "SELECT doc_id AS case_id, source AS scenario FROM documents ORDER BY doc_id LIMIT 20",
+    "silence_intervals": "SELECT 'a' AS audio_id, 3.0::DOUBLE AS start, 4.5::DOUBLE AS \"end\"",
+}
