@@ -97,6 +97,16 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(docs, keep_text=False).select("doc_id", "class_id", "copy_of", "kept")
 
 
+_B32 = """list_aggregate(list_transform(range(0, 8), lambda i: list_aggregate(list_transform([15, 10, 5, 0],
+  lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, i * 5 + 1, 5))::BIGINT >> s) & 31)::INTEGER + 1, 1)), 'string_agg', '')), 'string_agg', '')"""
+OP2_SQL = f"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(encode(coalesce(html, ''))) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS least FROM p)
+SELECT page_id, n AS payload_bytes, {_B32} AS payload_digest, CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> least THEN least END AS refers_to, true AS verified FROM f
+"""
+
+
 def op10_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return licensed(docs).select("doc_id", "license", "template", "matched", "shingles", F.round("containment", 6).alias("containment"))
@@ -140,6 +150,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_warc_round_trip": OP2_SQL,
     "op10_scan_licenses": OP10_SQL,
     "op5_scan_secrets": OP5_SQL,
     "op8_exact_dedup": OP8_SQL,
