@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField
 
@@ -20,6 +20,8 @@ from .grams import codepoints
 
 ORDER = 4
 SAMPLE_CHARS, SAMPLE_CHARS_IN_ALL = 3_000_000, 60_000_000
+#: Languages at most; so many sampling rates are broadcast.
+MOST_LANGUAGES = 1000
 EDGE, SPACE = 0, 32
 CHUNK = 1 << 19
 #: Texts with fewer letters than that are not rejected for their cross-entropy.
@@ -219,11 +221,13 @@ def _fit(sample: pd.DataFrame) -> tuple[Model, np.ndarray]:
 def training_sample(docs: DataFrame, id_column: str, text_column: str, lang_column: str, chars: int) -> DataFrame:
     """(lang, text): whole texts with a language, drawn by a hash at a rate that gives about chars characters each."""
     rows = docs.where(F.col(lang_column).isNotNull() & F.col(text_column).isNotNull() & (F.pmod(crc_of(id_column), F.lit(3)) != 1)).select(F.col(lang_column).cast("string").alias("lang"), F.col(text_column).cast("string").alias("text"), F.col(id_column).cast("string").alias("__sg_id"))
-    sizes = rows.groupBy("lang").agg(F.sum(F.char_length("text")).alias("__sg_chars"))
-    each = F.least(F.lit(float(chars)), F.lit(float(SAMPLE_CHARS_IN_ALL)) / F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
-    rates = sizes.select("lang", F.least(F.lit(1.0), each / F.greatest(F.col("__sg_chars"), F.lit(1))).alias("__sg_rate"))
+    sizes = rows.groupBy("lang").agg(F.sum(F.char_length("text")).alias("__sg_chars")).limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages: a model needs a column for each")
+    each = min(float(chars), SAMPLE_CHARS_IN_ALL / max(1, len(sizes)))
+    rates = docs.sparkSession.createDataFrame([(x["lang"], min(1.0, each / max(1, x["__sg_chars"]))) for x in sizes], "lang string, __sg_rate double")
     draw = F.pmod(F.xxhash64(F.lit(7), "__sg_id", F.char_length("text")), F.lit(1 << 30)) / float(1 << 30)
-    return rows.withColumn("__sg_draw", draw).join(rates, "lang").where("__sg_draw < __sg_rate").select("lang", "text")
+    return rows.withColumn("__sg_draw", draw).join(F.broadcast(rates), "lang").where("__sg_draw < __sg_rate").select("lang", "text")
 
 
 def identify(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", sample_chars: int = SAMPLE_CHARS, keep_text: bool = True) -> DataFrame:
