@@ -89,7 +89,7 @@ def op4_judge_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
+    return round_trip(table(spark, sf_dir, "pages"), keep_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -211,11 +211,11 @@ def reassemble(records: DataFrame) -> DataFrame:
     return single.unionByName(many)
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, keep_payload: bool = True) -> DataFrame:
     """(page_id, target_uri, record_type, payload_bytes, payload_digest, refers_to, payload, verified) of the archives.
 
     A revisit has its response's payload_bytes and payload_digest and no payload of its own; refers_to is the response's
-    page_id. verified: the record was whole, decoded, and has the stated digest (of a revisit: its response does, and both
+    page_id. keep_payload: false leaves payloads null once they are decoded and digested. verified: the record was whole, decoded, and has the stated digest (of a revisit: its response does, and both
     state the same). Broken records stay, with null payload and verified false; a revisit without its response likewise.
     """
     whole = reassemble(read_records(spark, path).where("record_type in ('response', 'continuation', 'revisit')"))
@@ -227,7 +227,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             digests = [None if p is None else payload_digest(p) for p in payloads]
             columns = [batch.column(n) for n in ("page_id", "target_uri", "record_type", "record_id", "refers_to_id", "payload_digest")]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array([None if p is None else len(p) for p in payloads], pa.int64()), pa.array(digests, pa.string()), pa.array([d is not None and d == s for d, s in zip(digests, stated, strict=True)]), pa.array(payloads, pa.binary())],
+                [*columns, pa.array([None if p is None else len(p) for p in payloads], pa.int64()), pa.array(digests, pa.string()), pa.array([d is not None and d == s for d, s in zip(digests, stated, strict=True)]), pa.array(payloads if keep_payload else [None] * len(payloads), pa.binary())],
                 names=["page_id", "target_uri", "record_type", "record_id", "refers_to_id", "stated", "payload_bytes", "payload_digest", "verified", "payload"],
             )
 
@@ -242,9 +242,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return responses.withColumn("refers_to", F.lit(None).cast("long")).select(*names).unionByName(revisits)
 
 
-def round_trip(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html", least_bytes: int = 0) -> DataFrame:
+def round_trip(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html", least_bytes: int = 0, keep_payload: bool = True) -> DataFrame:
     """Write pages as WARC files into the shared folder and read them back."""
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
     write_warc(without(pages), path, id_column, url_column, payload_column, least_bytes)
-    return read_warc(spark, path)
+    return read_warc(spark, path, keep_payload)
