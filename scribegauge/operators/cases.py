@@ -157,7 +157,7 @@ def by_length(cases: DataFrame, length: str | None = None) -> DataFrame:
 
 def confirmed(cases: DataFrame) -> DataFrame:
     """Cases that a user confirmed, with the media they come from."""
-    source = first_of(F.col("source.bvid"), F.col("source.url")) if "source" in cases.columns else F.lit(None).cast("string")
+    source = first_of(F.col("source.bvid"), F.col("source.url")) if dict(cases.dtypes).get("source", "").startswith("struct") else F.lit(None).cast("string")
     return cases.where(F.col("review_level") == BENCHMARK_LEVELS[0]).select("case_id", "language", "scenario", source.alias("media"))
 
 
