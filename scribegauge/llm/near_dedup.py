@@ -4,30 +4,32 @@ K-mers are runs of K words, labelled with their occurrence number in the text. E
 k-mers of least hash and keeps them in text order, which makes equal sketches a sign of small edit distance and not
 just of shared words. Texts of the same words are one class first; only one text of a class goes on.
 
-Texts with an equal sketch form a bucket; each member is compared with the bucket's leader by an exact edit distance
-over words, computed in a diagonal band as wide as the similarity allows. Buckets in which a comparison failed are dealt
-anew, with all their members, by one more sketch (two texts of shingle similarity 0.8 agree in about ten of twenty), and
-again by a third, each time under another leader. So work is linear in the members, however large a bucket is. Links
-are joined to components, and the smallest id of each stays.
+Texts with an equal sketch form a bucket. In the first few sketches' buckets each member is compared with the leader by an
+exact edit distance over words, computed in a diagonal band as wide as the similarity allows. Links are joined to
+components. After that, each pair of a bucket that is still in different components is linked or rejected: by length and
+counts of words, which can rule a link out but not in, and else by the same distance. The smallest id of each component stays.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField
 
 from . import bitfilter
-from .common import need, unioned, with_python, without, written
+from .common import need, with_python, without, written
 from .components import components
 from .grams import BASE, _powers_of, mixed, packed, word_hashes, words_in
 
-K, TAKEN, SKETCHES, SIMILARITY, LEVELS = 5, 3, 20, 0.8, 3
+K, TAKEN, SKETCHES, SIMILARITY = 5, 3, 20, 0.8
 #: Sketches that are compared first.
 FIRST = 4
+#: Counters of a text's bag of words; members of a salt.
+BAG, BLOCK = 128, 2000
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 1 << 63, SKETCHES, dtype=np.uint64)
 _ODD = _rng.integers(0, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -115,6 +117,13 @@ def sequences_of(words: np.ndarray, counts: np.ndarray) -> list[str]:
     return [f"{a:016x}{b:016x}" for a, b in zip(*keys, strict=True)]
 
 
+def bags_of(words: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """For each text BAG counters of its words by hash, up to 255. An edit raises at most one of them and lowers at most one."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    held = np.bincount(owner * BAG + (words % np.uint64(BAG)).astype(np.int64), minlength=len(counts) * BAG)
+    return [row.tobytes() for row in np.minimum(held, 255).astype(np.uint8).reshape(-1, BAG)]
+
+
 def blocks(texts: list[str], characters: int = 1 << 21) -> Iterator[list[str]]:
     """Runs of whole texts of about so many characters, so that working arrays stay small."""
     held, size = [], 0
@@ -197,16 +206,17 @@ def _banded(a: list[int], b: list[int], most: int) -> int:
 
 def _sketched(docs: DataFrame, text_column: str, keep_text: bool) -> DataFrame:
     def compute(texts: list[str | None]) -> dict:
-        made: dict[str, list] = {"__sg_sequence": [], "__sg_sketches": [], "__sg_words": []}
+        made: dict[str, list] = {"__sg_sequence": [], "__sg_sketches": [], "__sg_words": [], "__sg_bag": []}
         for block in blocks([t or "" for t in texts]):
             words, counts = words_of(block)
             ends = np.cumsum(counts)
             made["__sg_sequence"] += sequences_of(words, counts)
             made["__sg_sketches"] += [x.view(np.int64) for x in sketches_of(words, counts)]
+            made["__sg_bag"] += bags_of(words, counts)
             made["__sg_words"] += [words[e - c : e].astype(np.uint32).view(np.int32) for e, c in zip(ends, counts, strict=True)]
         return made
 
-    fields = [StructField("__sg_sequence", StringType()), StructField("__sg_sketches", ArrayType(LongType())), StructField("__sg_words", ArrayType(IntegerType()))]
+    fields = [StructField("__sg_sequence", StringType()), StructField("__sg_sketches", ArrayType(LongType())), StructField("__sg_words", ArrayType(IntegerType())), StructField("__sg_bag", BinaryType())]
     return with_python(docs, text_column, compute, fields, keep_text)
 
 
@@ -232,39 +242,109 @@ def _verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFram
     return both.mapInArrow(compared, "node long, leader long, alike boolean")
 
 
-def links_of(members: DataFrame, classes: DataFrame, words: DataFrame, similarity: float, levels: int) -> DataFrame:
-    """(u, v): links between members (node, band, key) that share keys and are alike."""
-    found = []
-    for level in range(1, levels + 1):
-        members = written(members, "near-members")
-        leaders = members.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.col("node"), F.lit(level)).alias("by"), "node")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        leaders = leaders.select(F.bitwise_not("key").alias("other"), F.col("least.node").alias("leader"))
-        led = written(members.join(leaders, F.bitwise_not("key") == F.col("other")).select("node", "band", "key", "leader"), "near-led")
-        pairs = written(led.where("node <> leader").select("node", "leader").distinct(), "near-pairs")
-        judged = written(_verified(pairs, words, similarity), "near-judged")
-        found.append(judged.where("alike").select(F.col("node").alias("u"), F.col("leader").alias("v")))
-        failed = judged.where("not alike").select("node", "leader")
-        if level == levels or failed.isEmpty():
-            break
-        crowded = led.join(failed, ["node", "leader"], "left_semi").select("key").distinct().select(F.bitwise_not("key").alias("other"))
-        again = led.join(crowded, F.bitwise_not("key") == F.col("other"), "left_semi").select("node", "band", "key")
-        more = again.join(classes, "node").select("node", "key", "band", F.posexplode("sketches").alias("next", "sketch")).where("next > band")
-        members = more.select("node", F.col("next").alias("band"), F.xxhash64("key", "next", "sketch").alias("key"))
-    return unioned(found)
-
-
-def linked_classes(classes: DataFrame, words: DataFrame, similarity: float, levels: int) -> DataFrame:
-    """(u, root) for classes (node, sketches) that links connect.
-
-    The first FIRST sketches are compared before the others, and their links joined to components. In the others' buckets
-    a component has one member for each key, so a large group of near copies isn't dealt out sketch by sketch again.
+def links_of(members: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): links between the leader of each bucket of members (node, key) and those that are alike."""
+    members = written(members, "near-members")
+    leaders = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("by"), "node")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    leaders = leaders.select(F.bitwise_not("key").alias("other"), F.col("least.node").alias("leader"))
+    led = members.join(leaders, F.bitwise_not("key") == F.col("other")).where("node <> leader")
+    return _alike_of(written(led.select("node", "leader").distinct(), "near-pairs"), words, similarity)
+
+
+def _alike_of(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    return written(_verified(pairs, words, similarity).where("alike").select(F.col("node").alias("u"), F.col("leader").alias("v")), "near-links")
+
+
+def _paired(sides: dict, similarity: float, nearest: bool) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Pairs of a block's members that are of different roots and that their lengths and bags don't rule out."""
+    node, root, count, home, salt, bags, crossed = (sides[k] for k in ("node", "root", "words", "home", "salt", "bag", "crossed"))
+    left, right = [], []
+    best, mate = np.full(len(node), np.iinfo(np.int64).max), np.zeros(len(node), np.int64)
+    for i in range(len(node) - 1):
+        most = ((1 - similarity) * np.maximum(count[i], count[i + 1 :]) + 1e-9).astype(np.int64)
+        fit = (root[i + 1 :] != root[i]) & (home[i + 1 :] | home[i]) & (np.abs(count[i + 1 :] - count[i]) <= most)
+        at = np.flatnonzero(fit & (salt[i + 1 :] != salt[i]) if crossed else fit)
+        if not len(at):
+            continue
+        most, at = most[at], at + i + 1
+        differ = bags[at] - bags[i]
+        more, net = np.maximum(differ, 0).sum(axis=1, dtype=np.int64), differ.sum(axis=1, dtype=np.int64)
+        possible = np.maximum(more, more - net) <= most
+        at, far = at[possible], (2 * more - net)[possible]
+        if not len(at):
+            continue
+        if nearest:
+            closer = far < best[at]
+            best[at[closer]], mate[at[closer]] = far[closer], i
+            k = int(far.argmin())
+            if far[k] < best[i]:
+                best[i], mate[i] = far[k], at[k]
+        else:
+            left.append(np.full(len(at), node[i]))
+            right.append(node[at])
+    if nearest:
+        has = np.flatnonzero(best < np.iinfo(np.int64).max)
+        left, right = [node[has]], [node[mate[has]]]
+    return left, right
+
+
+def _crossing(classes: DataFrame, similarity: float, nearest: bool) -> DataFrame:
+    """(node, leader): pairs of classes (node, root, sketches, count, bag) that share a sketch, have different roots and
+    can be alike by their lengths and bags. Each such pair; or, with nearest, each member's nearest one in a block.
+
+    A bucket falls into groups of like lengths; a member belongs to its own group and to the next, so that any two texts
+    whose lengths allow a link meet. Groups are dealt into salts of about BLOCK members, and each two salts meet in a block:
+    what is compared grows with the square of a group, what is shuffled and what a task holds does not.
+    """
+    members = written(_members(classes).select("node", "root", "key"), "near-members")
+    mixed_keys = members.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select(F.bitwise_not("key").alias("other"))
+    members = members.join(mixed_keys, F.bitwise_not("key") == F.col("other")).drop("other")
+    # a little more than the ratio that a link allows, so that rounding can't part two texts
+    step = math.log(1.0001 / max(similarity, 1e-9))
+    own = F.floor(F.log(F.col("count").cast("double")) / step)
+    members = members.join(classes.select("node", "count", "bag"), "node").withColumn("own", own)
+    members = written(members.withColumn("group", F.explode(F.array(F.col("own"), F.col("own") + 1))).withColumn("home", F.col("own") == F.col("group")).withColumn("bucket", F.xxhash64("key", "group")).drop("own", "group", "key"), "near-grouped")
+    groups = members.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("n"), F.max("home").alias("any")).where("a <> b and any")
+    groups = groups.select(F.bitwise_not("bucket").alias("other"), F.ceil(F.col("n") / BLOCK).cast("int").alias("salts"))
+    dealt = members.join(groups, F.bitwise_not("bucket") == F.col("other")).withColumn("salt", F.pmod(F.xxhash64("node", "bucket"), F.col("salts")).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    columns = ["node", "root", "count", "home", "salt", "bag"]
+    blocked = dealt.groupBy("bucket", F.least("salt", "with").alias("first"), F.greatest("salt", "with").alias("second")).agg(F.collect_list(F.struct(*columns)).alias("m"))
+    blocked = blocked.where(F.size("m") > 1).select((F.col("first") < F.col("second")).alias("crossed"), *[F.col(f"m.{c}").alias(c) for c in columns])
+
+    def paired(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            held = {c: batch.column(c) for c in columns}
+            ends = {c: held[c].offsets.to_numpy() for c in columns}
+            flat = {c: held[c].values.to_numpy(zero_copy_only=False) for c in columns if c != "bag"}
+            crossed, bags = batch.column("crossed").to_pylist(), held["bag"].values
+            for r in range(batch.num_rows):
+                sides = {c: flat[c][ends[c][r] : ends[c][r + 1]] for c in flat}
+                some = b"".join(bags[ends["bag"][r] : ends["bag"][r + 1]].to_pylist())
+                sides |= {"words": sides["count"], "bag": np.frombuffer(some, np.uint8).reshape(-1, BAG).astype(np.int16), "crossed": crossed[r]}
+                left, right = _paired(sides, similarity, nearest)
+                if left and sum(map(len, left)):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (left, right)], names=["node", "leader"])
+
+    pairs = blocked.mapInArrow(paired, "node long, leader long")
+    return written(pairs.select(F.greatest("node", "leader").alias("node"), F.least("node", "leader").alias("leader")).distinct(), "near-pairs")
+
+
+def linked_classes(classes: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """(u, root) for classes (node, sketches, count, bag) that links connect.
+
+    The members of the first FIRST sketches' buckets are compared with the bucket's leader, which joins large groups of
+    near copies at linear cost. Then, in the buckets of all sketches, members of different components: first each with its
+    nearest by word counts, which finds the middle of a star; then every pair that is left.
     """
-    early = _members(classes.withColumn("root", F.col("node"))).where(F.col("band") < FIRST).select("node", "band", "key")
-    links = written(links_of(early, classes, words, similarity, levels), "near-links")
-    roots = components(links)
-    rooted = classes.join(roots, classes["node"] == roots["u"], "left").select("node", F.coalesce("root", "node").alias("root"), "sketches")
-    late = _members(rooted).where(F.col("band") >= FIRST).groupBy("root", "band", "key").agg(F.min("node").alias("node")).select("node", "band", "key")
-    return components(unioned([links, links_of(late, classes, words, similarity, levels)]))
+    links = links_of(_members(classes.withColumn("root", F.col("node"))).where(F.col("band") < FIRST).select("node", "key"), words, similarity)
+    for nearest in (True, False):
+        roots = components(links)
+        rooted = classes.join(roots, classes["node"] == roots["u"], "left").select("node", F.coalesce("root", "node").alias("root"), "sketches", "count", "bag")
+        links = links.unionByName(_alike_of(_crossing(written(rooted, "near-rooted"), similarity, nearest), words, similarity))
+    return components(links)
 
 
 def _members(classes: DataFrame) -> DataFrame:
@@ -272,7 +352,7 @@ def _members(classes: DataFrame) -> DataFrame:
     return members.select("node", "root", "band", F.xxhash64("band", "sketch").alias("key"))
 
 
-def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", similarity: float = SIMILARITY, levels: int = LEVELS, keep_text: bool = True) -> DataFrame:
+def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", similarity: float = SIMILARITY, keep_text: bool = True) -> DataFrame:
     """docs plus class_id, copy_of and kept, one row for each row of docs.
 
     Words are runs of anything but white space, lower-cased. copy_of: the smallest id among rows of the same words in the
@@ -286,16 +366,16 @@ def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     docs = without(docs, "class_id", "copy_of", "kept")
     rows = written(_sketched(docs, text_column, keep_text).withColumn("__sg_row", F.monotonically_increasing_id()), "near-rows")
     least = F.min(F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), F.col("__sg_row").alias("row")))
-    classes = rows.groupBy("__sg_sequence").agg(least.alias("least"), F.first("__sg_sketches").alias("sketches"))
-    classes = written(classes.select("__sg_sequence", "least", F.col("least.row").alias("node"), "sketches"), "near-classes")
+    classes = rows.groupBy("__sg_sequence").agg(least.alias("least"), F.first("__sg_sketches").alias("sketches"), F.first(F.size("__sg_words")).alias("count"), F.first("__sg_bag").alias("bag"))
+    classes = written(classes.select("__sg_sequence", "least", F.col("least.row").alias("node"), "sketches", "count", "bag"), "near-classes")
     words = rows.select(F.col("__sg_row").alias("node"), F.col("__sg_words").alias("words"))
-    roots = written(linked_classes(classes.select("node", "sketches"), words, similarity, levels), "near-roots")
+    roots = written(linked_classes(classes.select("node", "sketches", "count", "bag"), words, similarity), "near-roots")
 
     every = roots.select("u", "root").unionByName(roots.select(F.col("root").alias("u"), "root").distinct())
     linked = written(classes.select("node", "least").join(every, F.col("node") == F.col("u")).select("node", "least", "root"), "near-linked")
     tops = linked.groupBy("root").agg(F.min("least").alias("top")).select(F.bitwise_not("root").alias("other"), "top")
     linked = linked.join(tops, F.bitwise_not("root") == F.col("other")).select(F.col("node").alias("u"), "top")
     known = classes.join(linked, F.col("node") == F.col("u"), "left").select(F.reverse("__sg_sequence").alias("other"), "least", F.coalesce("top", "least").alias("top"))
-    out = rows.join(known, F.reverse("__sg_sequence") == F.col("other"))
+    out = rows.drop("__sg_bag").join(known, F.reverse("__sg_sequence") == F.col("other"))
     names = [c for c in docs.columns if keep_text or c != text_column]
     return out.select(*[F.col(f"`{c}`") for c in names], F.col("top.id").alias("class_id"), F.col("least.id").alias("copy_of"), (F.col("__sg_row") == F.col("top.row")).alias("kept"))

@@ -67,6 +67,18 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_near_dedup_links_a_star(spark):
+    """Copies with an own passage each are alike to the original, and not to each other."""
+    rng = random.Random(8)
+    base, copies = words(rng, 400).split(), []
+    for k in range(1000):
+        at = rng.randrange(401)
+        copies.append(base[:at] + [f"own{k}x{i}" for i in range(rng.randrange(60, 95))] + base[at:])
+    docs = [(i, " ".join(t)) for i, t in enumerate([*copies, base])]
+    found = rows(nd.near_dedup(spark.createDataFrame(docs, DOCS)))
+    assert {r["class_id"] for r in found} == {0} and sum(r["kept"] for r in found) == 1
+
+
 def test_near_dedup(spark):
     rng = random.Random(4)
     docs, families = [], []
