@@ -1,10 +1,11 @@
-"""Near-deduplication by Order MinHash, verified by banded alignment.
+"""Near-deduplication by sampled k-mers, verified by banded alignment.
 
-K-mers are runs of K words, labelled with their occurrence number in the text. Each of SKETCHES sketches samples the TAKEN
-k-mers of least hash and keeps them in text order, which makes equal sketches a sign of small edit distance and not
-just of shared words. Texts of the same words are one class first; only one text of a class goes on.
+K-mers are runs of k words: four, in short texts three or two. Of each text the SAMPLED k-mers of least hash are its sketch.
+So two texts whose k-mers are no more than that (35 words) meet if they share any, which edit similarity 0.8 implies; two
+longer ones of shingle similarity j miss each other with a chance of less than (1 - j) ** SAMPLED, where j is about 0.26
+when every fifth word at random is another. Texts of the same words are one class first; only one text of a class goes on.
 
-Texts with an equal sketch form a bucket. In the first few sketches' buckets each member is compared with the leader by an
+Texts that share a sampled k-mer form its bucket. In the buckets of the first few each member is compared with the leader by an
 exact edit distance over words, computed in a diagonal band as wide as the similarity allows. Links are joined to
 components. After that, each pair of a bucket that is still in different components is linked or rejected: by length and
 counts of words, which can rule a link out but not in, and else by the same distance. The smallest id of each component stays.
@@ -25,15 +26,15 @@ from .common import need, with_python, without, written
 from .components import components
 from .grams import BASE, _powers_of, mixed, packed, word_hashes, words_in
 
-K, TAKEN, SKETCHES, SIMILARITY = 5, 3, 20, 0.8
-#: Sketches that are compared first.
+SAMPLED, SIMILARITY = 32, 0.8
+#: k, and the least and most words of texts that are sampled by their k-mers. e edits destroy k * e k-mers at most: two texts
+#: of edit similarity 0.8 share one if the longer has 4 or 5 words and k = 2, 6 or more and k = 3, 20 or more and k = 4.
+#: Spans overlap so that both texts have a k in common.
+SPANS = ((2, 4, 5), (3, 5, 25), (4, 20, 1 << 62))
+#: Sampled k-mers that are compared first.
 FIRST = 4
 #: Counters of a text's bag of words; members of a salt.
 BAG, BLOCK = 128, 2000
-_rng = np.random.default_rng(20240229)
-_XOR = _rng.integers(0, 1 << 63, SKETCHES, dtype=np.uint64)
-_ODD = _rng.integers(0, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _OTHER_BASE = 0xD1342543DE82EF95
 
 
@@ -49,60 +50,29 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches_of(words: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
-    """For each text its SKETCHES sketches; one, of all its k-mers, if it has fewer than TAKEN; none if it has no word.
-    A text of fewer than K words is one k-mer."""
+    """For each text, by each k of SPANS that its number of words allows, the SAMPLED k-mers of least hash, in that order."""
     begin = np.cumsum(counts) - counts
-    length = np.maximum(np.minimum(counts, 1), counts - K + 1)
-    owner = np.repeat(np.arange(len(counts)), length)
-    first = np.cumsum(length) - length
-    place = np.arange(len(owner)) - first[owner] + begin[owner]
-    kmers = np.zeros(len(owner), np.uint64)
-    padded = np.concatenate([words, np.zeros(K, np.uint64)])
-    for k in range(K):
-        inside = place + k < (begin + counts)[owner]
-        kmers = kmers * np.uint64(BASE) + np.where(inside, padded[place + k], np.uint64(1))
-    # the occurrence number of a k-mer within its text
-    keys = mixed(kmers + mixed(owner.astype(np.uint64) + np.uint64(1)))
-    order = np.argsort(keys, kind="stable")
-    sorted_keys = keys[order]
-    new = np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]) if len(keys) else np.zeros(0, bool)
-    start = np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0)) if len(keys) else np.zeros(0, np.int64)
-    occurrence = np.empty(len(keys), np.uint64)
-    occurrence[order] = (np.arange(len(keys)) - start).astype(np.uint64)
-    labelled = mixed(kmers + occurrence * np.uint64(_OTHER_BASE))
-
-    out: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(counts)
-    for i in np.flatnonzero((length > 0) & (length < TAKEN)):
-        total = np.full(1, length[i], np.uint64)
-        for x in range(first[i], first[i] + length[i]):
-            total = total * np.uint64(BASE) + labelled[x : x + 1]
-        out[i] = mixed(total)
-    many = np.flatnonzero(length >= TAKEN)
-    if not len(many):
-        return out
-    use = np.repeat(length >= TAKEN, length)
-    labelled, width = labelled[use], length[many]
-    heads = np.cumsum(width) - width
-    group = np.repeat(np.arange(len(many)), width)
-    made = np.empty((len(many), SKETCHES), np.uint64)
-    for s in range(SKETCHES):
-        value = (labelled ^ _XOR[s]) * _ODD[s]
-        taken = np.empty((len(many), TAKEN), np.int64)
-        for t in range(TAKEN):
-            least = np.minimum.reduceat(value, heads)
-            at = np.flatnonzero(value == least[group])
-            if len(at) != len(many):  # labelled k-mers of equal hash: take the first
-                at = at[np.unique(group[at], return_index=True)[1]]
-            taken[:, t] = at
-            value[at] = _TOP
-        taken.sort(axis=1)
-        total = np.full(len(many), s, np.uint64)
-        for t in range(TAKEN):
-            total = total * np.uint64(BASE) + labelled[taken[:, t]]
-        made[:, s] = mixed(total)
-    for row, i in enumerate(many):
-        out[i] = made[row]
-    return out
+    owners, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for k, least, most in SPANS:
+        length = np.where((counts >= least) & (counts <= most), counts - k + 1, 0)
+        owner = np.repeat(np.arange(len(counts)), length)
+        place = np.arange(len(owner)) + np.repeat(begin - np.cumsum(length) + length, length)
+        kmers = np.full(len(owner), k, np.uint64)
+        for i in range(k):
+            kmers = kmers * np.uint64(BASE) + words[place + i]
+        kmers = mixed(kmers)
+        order = np.lexsort((kmers, owner))
+        owner, kmers = owner[order], kmers[order]
+        new = np.ones(len(owner), bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (kmers[1:] != kmers[:-1])
+        owner, kmers = owner[new], kmers[new]
+        held = np.bincount(owner, minlength=len(counts))
+        low = np.arange(len(owner)) - np.repeat(np.cumsum(held) - held, held) < SAMPLED
+        owners.append(owner[low])
+        found.append(kmers[low])
+    owner = np.concatenate(owners)
+    kmers = np.concatenate(found)[np.argsort(owner, kind="stable")]
+    return np.split(kmers, np.cumsum(np.bincount(owner, minlength=len(counts)))[:-1]) if len(counts) else []
 
 
 def sequences_of(words: np.ndarray, counts: np.ndarray) -> list[str]:
@@ -244,7 +214,6 @@ def _verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFram
 
 def links_of(members: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     """(u, v): links between the leader of each bucket of members (node, key) and those that are alike."""
-    members = written(members, "near-members")
     leaders = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("by"), "node")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
     leaders = leaders.select(F.bitwise_not("key").alias("other"), F.col("least.node").alias("leader"))
     led = members.join(leaders, F.bitwise_not("key") == F.col("other")).where("node <> leader")
@@ -288,26 +257,26 @@ def _paired(sides: dict, similarity: float, nearest: bool) -> tuple[list[np.ndar
     return left, right
 
 
-def _crossing(classes: DataFrame, similarity: float, nearest: bool) -> DataFrame:
-    """(node, leader): pairs of classes (node, root, sketches, count, bag) that share a sketch, have different roots and
-    can be alike by their lengths and bags. Each such pair; or, with nearest, each member's nearest one in a block.
+def _crossing(members: DataFrame, roots: DataFrame, classes: DataFrame, similarity: float, nearest: bool) -> DataFrame:
+    """(node, leader): pairs of members (node, key, count) that share a key, have different roots (u, root) and can be alike
+    by their lengths and the bags of classes (node, bag). Each such pair; or, with nearest, each member's nearest one in a block.
 
     A bucket falls into groups of like lengths; a member belongs to its own group and to the next, so that any two texts
     whose lengths allow a link meet. Groups are dealt into salts of about BLOCK members, and each two salts meet in a block:
     what is compared grows with the square of a group, what is shuffled and what a task holds does not.
     """
-    members = written(_members(classes).select("node", "root", "key"), "near-members")
+    members = members.join(roots, members["node"] == roots["u"], "left").select("node", "key", "count", F.coalesce("root", "node").alias("root"))
+    members = written(members, "near-rooted")
     mixed_keys = members.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select(F.bitwise_not("key").alias("other"))
     members = members.join(mixed_keys, F.bitwise_not("key") == F.col("other")).drop("other")
     # a little more than the ratio that a link allows, so that rounding can't part two texts
     step = math.log(1.0001 / max(similarity, 1e-9))
     own = F.floor(F.log(F.col("count").cast("double")) / step)
-    members = members.join(classes.select("node", "count", "bag"), "node").withColumn("own", own)
-    members = written(members.withColumn("group", F.explode(F.array(F.col("own"), F.col("own") + 1))).withColumn("home", F.col("own") == F.col("group")).withColumn("bucket", F.xxhash64("key", "group")).drop("own", "group", "key"), "near-grouped")
+    members = written(members.withColumn("own", own).withColumn("group", F.explode(F.array(F.col("own"), F.col("own") + 1))).withColumn("home", F.col("own") == F.col("group")).withColumn("bucket", F.xxhash64("key", "group")).drop("own", "group", "key"), "near-grouped")
     groups = members.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("n"), F.max("home").alias("any")).where("a <> b and any")
     groups = groups.select(F.bitwise_not("bucket").alias("other"), F.ceil(F.col("n") / BLOCK).cast("int").alias("salts"))
     dealt = members.join(groups, F.bitwise_not("bucket") == F.col("other")).withColumn("salt", F.pmod(F.xxhash64("node", "bucket"), F.col("salts")).cast("int"))
-    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    dealt = dealt.join(classes.select("node", "bag"), "node").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     columns = ["node", "root", "count", "home", "salt", "bag"]
     blocked = dealt.groupBy("bucket", F.least("salt", "with").alias("first"), F.greatest("salt", "with").alias("second")).agg(F.collect_list(F.struct(*columns)).alias("m"))
     blocked = blocked.where(F.size("m") > 1).select((F.col("first") < F.col("second")).alias("crossed"), *[F.col(f"m.{c}").alias(c) for c in columns])
@@ -335,21 +304,25 @@ def _crossing(classes: DataFrame, similarity: float, nearest: bool) -> DataFrame
 def linked_classes(classes: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     """(u, root) for classes (node, sketches, count, bag) that links connect.
 
-    The members of the first FIRST sketches' buckets are compared with the bucket's leader, which joins large groups of
-    near copies at linear cost. Then, in the buckets of all sketches, members of different components: first each with its
+    The members of the buckets of each text's first FIRST k-mers are compared with the bucket's leader, which joins large
+    groups of near copies at linear cost. Then, in all buckets, members of different components: first each with its
     nearest by word counts, which finds the middle of a star; then every pair that is left.
     """
-    links = links_of(_members(classes.withColumn("root", F.col("node"))).where(F.col("band") < FIRST).select("node", "key"), words, similarity)
+    members = _members(classes)
+    links = links_of(members.where(F.col("band") < FIRST).select("node", "key"), words, similarity)
     for nearest in (True, False):
-        roots = components(links)
-        rooted = classes.join(roots, classes["node"] == roots["u"], "left").select("node", F.coalesce("root", "node").alias("root"), "sketches", "count", "bag")
-        links = links.unionByName(_alike_of(_crossing(written(rooted, "near-rooted"), similarity, nearest), words, similarity))
+        pairs = _crossing(members, components(links), classes, similarity, nearest)
+        links = links.unionByName(_alike_of(pairs, words, similarity))
     return components(links)
 
 
 def _members(classes: DataFrame) -> DataFrame:
-    members = classes.select("node", "root", F.posexplode_outer("sketches").alias("band", "sketch")).where(F.col("sketch").isNotNull())
-    return members.select("node", "root", "band", F.xxhash64("band", "sketch").alias("key"))
+    """(node, count, band, key): sampled k-mers that more than one class has, by a fixed-size filter; some others pass, too."""
+    members = classes.select("node", "count", F.posexplode("sketches").alias("band", "key"))
+    shared = written(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "near-shared")
+    log2_bits = bitfilter.log2_bits_for(shared.count())
+    maybe = bitfilter.with_maybe(members, F.col("key"), bitfilter.seen(shared, "key", log2_bits), log2_bits, "__sg_maybe")
+    return written(maybe.where("__sg_maybe").drop("__sg_maybe"), "near-members")
 
 
 def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", similarity: float = SIMILARITY, keep_text: bool = True) -> DataFrame:
@@ -359,8 +332,8 @@ def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     same order; class_id: the smallest id among all rows that links connect; a link joins texts whose edit distance over
     words is at most (1 - similarity) of the longer's words. kept: true for one row of each class, that of class_id (a
     null id is above all others; of rows that repeat the id exactly one is kept). Texts without words (null, empty, blank)
-    are copies of each other. Texts of fewer than five words are linked with texts of the same words only. An empty table
-    gives no rows. Input columns named as an output are replaced. keep_text: false leaves the text out.
+    are copies of each other. Texts of fewer than four words are linked with texts of the same words only, which is all that
+    similarity 0.8 allows; below 0.8 more links of short texts can be missed. An empty table gives no rows. Input columns named as an output are replaced. keep_text: false leaves the text out.
     """
     need(docs, id_column, text_column)
     docs = without(docs, "class_id", "copy_of", "kept")

@@ -79,6 +79,44 @@ def test_near_dedup_links_a_star(spark):
     assert {r["class_id"] for r in found} == {0} and sum(r["kept"] for r in found) == 1
 
 
+def edited(rng, text, edits):
+    out = list(text)
+    for k in range(edits):
+        at = rng.randrange(len(out))
+        out[at : at + 1] = rng.choice([[f"new{k}"], [f"new{k}"], [out[at], f"new{k}"], []] if len(out) > 4 else [[f"new{k}"]])
+    return out
+
+
+def sharing(pairs):
+    """Whether the texts of each pair share something of their sketches."""
+    sketched = nd.sketches_of(*nd.words_of([" ".join(t) for pair in pairs for t in pair]))
+    return [len(np.intersect1d(a, b)) > 0 for a, b in zip(sketched[0::2], sketched[1::2], strict=True)]
+
+
+def test_near_candidates_at_edit_similarity():
+    rng = random.Random(12)
+    ids = {}
+    number = lambda t: np.array([ids.setdefault(w, len(ids)) for w in t])
+    for n in [*range(5, 36), 60, 100, 300]:
+        pairs = [(t, edited(rng, t, rng.choice([n // 5, n // 5, n // 10]))) for t in (words(rng, n).split() for _ in range(200))]
+        pairs = [(a, b) for a, b in pairs if nd.alike(number(a), number(b))]
+        found = sharing(pairs)
+        assert len(pairs) > 50 and (all(found) if max(len(t) for p in pairs for t in p) <= 35 else sum(found) >= 0.98 * len(found)), n
+
+
+def test_near_dedup_at_the_threshold(spark):
+    rng = random.Random(13)
+    docs = []
+    for n in (5, 6, 9, 12, 20, 24, 31, 300, 300, 300) * 4:
+        text = words(rng, n).split()
+        other = list(text)
+        for at in rng.sample(range(n), n // 5):
+            other[at] = "changed"
+        docs += [(len(docs), " ".join(text)), (len(docs) + 1, " ".join(other))]
+    found = {r["doc_id"]: r["class_id"] for r in rows(nd.near_dedup(spark.createDataFrame(docs, DOCS)))}
+    assert all(found[i] == i - i % 2 for i in found)
+
+
 def test_near_dedup(spark):
     rng = random.Random(4)
     docs, families = [], []
