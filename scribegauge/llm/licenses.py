@@ -71,7 +71,7 @@ def licensed(docs: DataFrame, text_column: str = "text", templates: DataFrame |
     known = templates if templates is not None else templates_table(docs.sparkSession)
     known = written(known.select("template", "license", token_hashes(text_of("notice")).alias("__sg_tokens")).select("template", "license", _shingles(F.col("__sg_tokens")).alias("__sg_known")).where(F.size("__sg_known") > 0), "license-templates")
     full = [F.slice(band, 1, F.size("__sg_known") - WIDE + 1) for band in _bands(F.col("__sg_known"), 1)]
-    values = F.when(F.size("__sg_known") > WIDE, F.concat(*full)).otherwise(F.col("__sg_known"))
+    values = F.when(F.size("__sg_known") > WIDE + 1, F.concat(*full)).otherwise(F.col("__sg_known"))
     seeds = written(known.select("template", F.explode(values).alias("seed")).distinct(), "license-seeds")
 
     text = text_of(text_column)

@@ -139,3 +139,10 @@ def test_licenses(spark):
                 wanted.add((d, k, len(need & have)))
     assert found == wanted and any(f[0] == 903 for f in found)
     assert rows(licensed(spark.createDataFrame([], DOCS))) == []
+
+
+def test_licenses_of_five_shingles(spark):
+    notice = "a b c d e f g h i"
+    docs = [(k, " ".join(["z"] * k + ["a b c d e f g h other"])) for k in range(4)] + [(9, "b c d e f g h i"), (10, "z b c d e f g h i")]
+    known = spark.createDataFrame([(0, "X", notice)], "template int, license string, notice string")
+    assert {(r["doc_id"], r["matched"]) for r in rows(licensed(spark.createDataFrame(docs, DOCS), templates=known))} == {(d, 4) for d, _ in docs}
