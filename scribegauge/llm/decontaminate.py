@@ -4,7 +4,8 @@ A seed is the hash of the tokens at the set places of a fixed mask; the other pl
 every text is hashed under every mask and joined with the seeds of the benchmark's items. A hit fixes a diagonal of
 text and item; along it tokens are compared in place, and the pair counts if some window of consecutive tokens agrees
 in enough places. The two masks were chosen so that any window of 13 tokens with at most two substitutions holds a hit,
-wherever the substitutions are.
+wherever the substitutions are. Items shorter than the window, but not than a mask, have seeds of whole runs besides: as
+many disjoint runs as an item may have substitutions, and one more, so that one of them is whole.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import need, text_of, without, written
+from .common import need, text_of, unioned, without, written
 from .lookup import owners_of, rows_with, rows_without, text_key, texts_of, token_hashes
 
 MASKS = ("11010111", "11110011")
@@ -33,6 +34,12 @@ def _positions(rows: DataFrame, keep: list[str], masks: tuple[str, ...]) -> Data
     return rows.select(*keep, F.posexplode_outer(_seeds(F.col("__sg_tokens"), masks)).alias("__sg_pos", "seed")).withColumn("__sg_pos", (F.col("__sg_pos") / len(masks)).cast("int"))
 
 
+def _runs(rows: DataFrame, keep: list[str], length: int) -> DataFrame:
+    tokens = F.col("__sg_tokens")
+    at = F.transform(F.sequence(F.lit(0), F.size(tokens) - length), lambda i: F.xxhash64(F.lit(-length), *[F.get(tokens, i + k) for k in range(length)]))
+    return rows.select(*keep, F.posexplode_outer(F.when(F.size(tokens) >= length, at)).alias("__sg_pos", "seed"))
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", masks: tuple[str, ...] = MASKS, window: int = WINDOW, agreement: float = AGREEMENT) -> DataFrame:
     """(__sg_key, item_id, agreeing, compared): distinct texts of docs and the items that they overlap.
 
@@ -43,10 +50,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", i
         raise ValueError("masks must be equally long")
     items = benchmark.select(F.col(item_column).alias("item_id"), token_hashes(text_of(item_text_column)).alias("__sg_tokens")).distinct()
     items = written(items.withColumn("__sg_item", F.xxhash64("item_id", "__sg_tokens")), "benchmark-items")
-    seeds = written(_positions(items, ["__sg_item"], masks).withColumnRenamed("__sg_pos", "__sg_at").distinct(), "benchmark-seeds")
+    # e substitutions leave one of e + 1 runs whole
+    size = F.size("__sg_tokens")
+    short = items.where((size >= len(masks[0])) & (size < window)).withColumn("__sg_run", F.floor(size / (F.floor(size * (1 - agreement) + 1e-9) + 1)).cast("int"))
+    lengths = sorted(r[0] for r in short.select("__sg_run").distinct().collect())
+    seeds = unioned([_positions(items, ["__sg_item"], masks), *[_runs(short.where(F.col("__sg_run") == n), ["__sg_item"], n) for n in lengths]])
+    seeds = written(seeds.withColumnRenamed("__sg_pos", "__sg_at").distinct(), "benchmark-seeds")
     text = text_of(text_column)
     rows = docs.select(text_key(text).alias("__sg_key"), token_hashes(text).alias("__sg_tokens"))
-    hits = owners_of(_positions(rows, ["__sg_key"], masks), seeds)
+    hits = owners_of(unioned([_positions(rows, ["__sg_key"], masks), *[_runs(rows, ["__sg_key"], n) for n in lengths]]), seeds)
     hits = written(hits.select("__sg_key", "__sg_item", (F.col("__sg_pos") - F.col("__sg_at")).alias("__sg_diagonal")).distinct(), "benchmark-hits")
     texts = texts_of(docs, text_column, hits.select("__sg_key").distinct()).select(F.reverse("__sg_key").alias("__sg_other"), token_hashes(F.col("__sg_text")).alias("__sg_tokens"))
     pairs = hits.join(texts, F.reverse("__sg_key") == F.col("__sg_other")).join(items.withColumnRenamed("__sg_tokens", "__sg_item_tokens"), "__sg_item")

@@ -114,6 +114,19 @@ def test_decontamination(spark):
     assert rows(contaminated(df, bench.where("false"))) == [] and rows(contaminated(df.where("false"), bench)) == []
 
 
+def test_decontamination_of_items_shorter_than_the_window(spark):
+    rng = random.Random(6)
+    items = [(n, words(rng, n)) for n in range(8, 13)]
+    docs = []
+    for n, item in items:
+        for a in range(n):
+            for b in range(a, n):
+                changed = ["x" if k in (a, b) else w for k, w in enumerate(item.split())]
+                docs.append((len(docs), f"{words(rng, 3)} {' '.join(changed)} {words(rng, 3)}"))
+    found = {(r["doc_id"], r["item_id"]) for r in rows(contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")))}
+    assert found == {(d, i) for d, t in docs for i, item in items if brute_overlaps(t, item)}
+
+
 def shingles(text):
     w = [x for x in re.split(r"[^\w]+|_", (text or "").lower()) if x]
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
