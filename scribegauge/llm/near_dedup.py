@@ -1,14 +1,15 @@
-"""Near-deduplication by sampled k-mers, verified by banded alignment.
-
-K-mers are runs of k words: four, in short texts three or two. Of each text the SAMPLED k-mers of least hash are its sketch.
-So two texts whose k-mers are no more than that (35 words) meet if they share any, which edit similarity 0.8 implies; two
-longer ones of shingle similarity j miss each other with a chance of less than (1 - j) ** SAMPLED, where j is about 0.26
-when every fifth word at random is another. Texts of the same words are one class first; only one text of a class goes on.
-
-Texts that share a sampled k-mer form its bucket. In the buckets of the first few each member is compared with the leader by an
-exact edit distance over words, computed in a diagonal band as wide as the similarity allows. Links are joined to
-components. After that, each pair of a bucket that is still in different components is linked or rejected: by length and
-counts of words, which can rule a link out but not in, and else by the same distance. The smallest id of each component stays.
+"""Near-deduplication by Order MinHash, verified by banded alignment.
+
+A text's k-mers are runs of K words (single words in short texts), each labelled with the number of its earlier occurrences.
+Of each of SKETCHES permutations a text keeps its TAKEN least labelled k-mers in the order in which the text has them; their
+hash is a sketch (Marcais et al., 2019). Two texts that share a sketch are candidates. Texts of the same words are one
+class first; only one text of a class goes on.
+
+In the buckets of the first few sketches each member is compared with the bucket's leader, which joins large groups of
+near copies at linear cost. Links are joined to components. After that, each pair of a bucket that is still in different
+components is linked or rejected in bounded blocks: by length and counts of words, which can rule a link out but not
+in, and else by the exact edit distance over words, computed in a diagonal band as wide as the similarity allows. The
+smallest id of each component stays.
 """
 
 from __future__ import annotations
@@ -26,16 +27,19 @@ from .common import need, with_python, without, written
 from .components import components
 from .grams import BASE, _powers_of, mixed, packed, word_hashes, words_in
 
-SAMPLED, SIMILARITY = 32, 0.8
-#: k, and the least and most words of texts that are sampled by their k-mers. e edits destroy k * e k-mers at most: two texts
-#: of edit similarity 0.8 share one if the longer has 4 or 5 words and k = 2, 6 or more and k = 3, 20 or more and k = 4.
-#: Spans overlap so that both texts have a k in common.
-SPANS = ((2, 4, 5), (3, 5, 25), (4, 20, 1 << 62))
-#: Sampled k-mers that are compared first.
-FIRST = 4
-#: Counters of a text's bag of words; members of a salt.
-BAG, BLOCK = 128, 2000
+SIMILARITY = 0.8
+SKETCHES, TAKEN = 56, 3
+#: k, and the least and most words of the texts that are sketched by it. The spans overlap by more than the similarity
+#: lets lengths differ, so that any two texts that can be linked have a k in common.
+SPANS = ((1, 4, 40), (2, 32, 1 << 62))
+#: Sketches whose buckets' leaders are compared first.
+FIRST = 8
+#: Counters of a text's bag of words; members and words of a salt.
+BAG, BLOCK, BLOCK_WORDS = 256, 2000, 1 << 21
+#: K-mers that a permutation has to sort in a longer text, on average.
+_SORTED = 18
 _OTHER_BASE = 0xD1342543DE82EF95
+_BANDS = [int(x) | 1 for x in mixed(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(BASE))]
 
 
 def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -49,30 +53,57 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found) if found else np.zeros(0, np.uint64), counts
 
 
+def _labelled(owner: np.ndarray, kmers: np.ndarray) -> np.ndarray:
+    """Hashes of k-mers together with the number of their earlier occurrences in the same text."""
+    order = np.lexsort((kmers, owner))
+    new = np.ones(len(order), bool)
+    new[1:] = (owner[order][1:] != owner[order][:-1]) | (kmers[order][1:] != kmers[order][:-1])
+    first = np.flatnonzero(new)
+    seen = np.zeros(len(order), np.uint64)
+    seen[order] = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+    return mixed(kmers + seen * np.uint64(_OTHER_BASE))
+
+
 def sketches_of(words: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
-    """For each text, by each k of SPANS that its number of words allows, the SAMPLED k-mers of least hash, in that order."""
+    """For each text its sketches, SKETCHES for each k of SPANS that its number of words allows. A text of fewer than
+    TAKEN k-mers has sketches of all of them."""
     begin = np.cumsum(counts) - counts
     owners, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for k, least, most in SPANS:
         length = np.where((counts >= least) & (counts <= most), counts - k + 1, 0)
-        owner = np.repeat(np.arange(len(counts)), length)
-        place = np.arange(len(owner)) + np.repeat(begin - np.cumsum(length) + length, length)
+        texts = np.flatnonzero(length)
+        if not len(texts):
+            continue
+        length = length[texts]
+        ends = np.cumsum(length)
+        owner = np.repeat(np.arange(len(texts)), length)
+        place = np.arange(len(owner)) + np.repeat(begin[texts] - ends + length, length)
         kmers = np.full(len(owner), k, np.uint64)
         for i in range(k):
             kmers = kmers * np.uint64(BASE) + words[place + i]
-        kmers = mixed(kmers)
-        order = np.lexsort((kmers, owner))
-        owner, kmers = owner[order], kmers[order]
-        new = np.ones(len(owner), bool)
-        new[1:] = (owner[1:] != owner[:-1]) | (kmers[1:] != kmers[:-1])
-        owner, kmers = owner[new], kmers[new]
-        held = np.bincount(owner, minlength=len(counts))
-        low = np.arange(len(owner)) - np.repeat(np.cumsum(held) - held, held) < SAMPLED
-        owners.append(owner[low])
-        found.append(kmers[low])
+        hashes = _labelled(owner, kmers)
+        # only k-mers below a text's limit are sorted; a text that has too few of them there is sorted whole
+        limit = np.repeat(np.where(length > _SORTED, (np.minimum(_SORTED / length, 1.0) * 2.0**53).astype(np.uint64) << np.uint64(11), np.uint64(2**64 - 1)), length)
+        taken = np.minimum(length, TAKEN)
+        starts = np.cumsum(taken) - taken
+        rank = np.arange(int(taken.sum())) - np.repeat(starts, taken)
+        for band, factor in enumerate(_BANDS):
+            values = hashes * np.uint64(factor)
+            low = values <= limit
+            held = np.bincount(owner[low], minlength=len(texts)) if len(texts) > 1 else np.array([low.sum()])
+            if (held < taken).any():
+                low |= (held < taken)[owner]
+            at = np.flatnonzero(low)
+            order = np.argsort(owner[at].astype(np.uint64) << np.uint64(40) | values[at] >> np.uint64(24), kind="stable")
+            held = np.bincount(owner[at], minlength=len(texts))
+            inside = np.arange(len(at)) - np.repeat(np.cumsum(held) - held, held)
+            chosen = at[np.sort(order[inside < np.repeat(taken, held)])]
+            total = np.add.reduceat(hashes[chosen] * _powers_of(BASE, TAKEN)[rank], starts)
+            owners.append(texts)
+            found.append(mixed(total + np.uint64(k * SKETCHES + band)))
     owner = np.concatenate(owners)
-    kmers = np.concatenate(found)[np.argsort(owner, kind="stable")]
-    return np.split(kmers, np.cumsum(np.bincount(owner, minlength=len(counts)))[:-1]) if len(counts) else []
+    keys = np.concatenate(found)[np.argsort(owner, kind="stable")]
+    return np.split(keys, np.cumsum(np.bincount(owner, minlength=len(counts)))[:-1]) if len(counts) else []
 
 
 def sequences_of(words: np.ndarray, counts: np.ndarray) -> list[str]:
@@ -126,10 +157,12 @@ def edit_distance_within(a: np.ndarray, b: np.ndarray, most: int) -> int:
     a, b = a[: len(a) - tail], b[: len(b) - tail]
     if not len(a) or not len(b):
         return max(len(a), len(b))
-    if max(len(a), len(b)) - min(np.isin(a, b).sum(), np.isin(b, a).sum()) > most:
+    listed, other = a.tolist(), b.tolist()
+    words, others = set(listed), set(other)
+    if max(len(words), len(others)) - len(words & others) > most:
         return most + 1
     most_here = min(most, max(len(a), len(b)))
-    return _banded(a.tolist(), b.tolist(), most_here) if len(a) > most_here else _rows(a, b)
+    return _banded(listed, other, most_here) if len(a) > most_here else _rows(a, b)
 
 
 def _rows(a: np.ndarray, b: np.ndarray) -> int:
@@ -224,46 +257,142 @@ def _alike_of(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFram
     return written(_verified(pairs, words, similarity).where("alike").select(F.col("node").alias("u"), F.col("leader").alias("v")), "near-links")
 
 
-def _paired(sides: dict, similarity: float, nearest: bool) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Pairs of a block's members that are of different roots and that their lengths and bags don't rule out."""
-    node, root, count, home, salt, bags, crossed = (sides[k] for k in ("node", "root", "words", "home", "salt", "bag", "crossed"))
-    left, right = [], []
-    best, mate = np.full(len(node), np.iinfo(np.int64).max), np.zeros(len(node), np.int64)
-    for i in range(len(node) - 1):
-        most = ((1 - similarity) * np.maximum(count[i], count[i + 1 :]) + 1e-9).astype(np.int64)
-        fit = (root[i + 1 :] != root[i]) & (home[i + 1 :] | home[i]) & (np.abs(count[i + 1 :] - count[i]) <= most)
-        at = np.flatnonzero(fit & (salt[i + 1 :] != salt[i]) if crossed else fit)
-        if not len(at):
-            continue
-        most, at = most[at], at + i + 1
-        differ = bags[at] - bags[i]
-        more, net = np.maximum(differ, 0).sum(axis=1, dtype=np.int64), differ.sum(axis=1, dtype=np.int64)
-        possible = np.maximum(more, more - net) <= most
-        at, far = at[possible], (2 * more - net)[possible]
-        if not len(at):
+def settled(block: dict[str, np.ndarray], sketches: list[np.ndarray], words: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links between a block's members of different roots: enough of them that every pair that is alike, and has its least
+    common sketch as the block's key, gets connected. Pairs nearest by their bags are compared first, and pairs that
+    links of this block already connect are not compared."""
+    node, root, count, home, salt, key, bags = (block[k] for k in ("node", "root", "count", "home", "salt", "key", "bag"))
+    here = np.flatnonzero(salt == salt.min())
+    there = np.flatnonzero(salt != salt.min())
+    if len(there) and len(there) < len(here):
+        here, there = there, here
+    bags = np.ascontiguousarray(bags.T)  # a counter of all members lies together
+    sums = bags.sum(axis=0, dtype=np.int64)
+    lefts, rights, fars = [], [], []
+    for n, i in enumerate(here.tolist()):
+        at = there if len(there) else here[n + 1 :]
+        most = ((1 - similarity) * np.maximum(count[i], count[at]) + 1e-9).astype(np.int64)
+        fit = (root[at] != root[i]) & (home[at] | home[i]) & (np.abs(count[at] - count[i]) <= most) & (key[at] == key[i])
+        if not fit.any():
             continue
-        if nearest:
-            closer = far < best[at]
-            best[at[closer]], mate[at[closer]] = far[closer], i
-            k = int(far.argmin())
-            if far[k] < best[i]:
-                best[i], mate[i] = far[k], at[k]
-        else:
-            left.append(np.full(len(at), node[i]))
-            right.append(node[at])
-    if nearest:
-        has = np.flatnonzero(best < np.iinfo(np.int64).max)
-        left, right = [node[has]], [node[mate[has]]]
-    return left, right
+        at, most = at[fit], most[fit]
+        far = np.abs(bags[:, at] - bags[:, i : i + 1]).sum(axis=0, dtype=np.int32).astype(np.int64)
+        possible = (far + np.abs(sums[at] - sums[i])) // 2 <= most
+        if possible.any():
+            lefts.append(np.full(int(possible.sum()), i, np.int32))
+            rights.append(at[possible].astype(np.int32))
+            fars.append(far[possible])
+    if not lefts:
+        return []
+    left, right = np.concatenate(lefts), np.concatenate(rights)
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := above.get(x, x)) != x:
+            above[x] = above.get(y, y)
+            x = y
+        return x
+
+    links: list[tuple[int, int]] = []
+    held: dict[int, set[int]] = {}
+
+    def least_common(i: int, j: int) -> int:
+        for x in (i, j):
+            if x not in held:
+                held[x] = set(sketches[x].tolist())
+        return min(held[i] & held[j])
+
+    def compare(i: int, j: int) -> None:
+        a, b = top(int(root[i])), top(int(root[j]))
+        if a != b and alike(words[i], words[j], similarity):
+            above[max(a, b)] = min(a, b)
+            links.append((int(node[i]), int(node[j])))
+
+    near = np.concatenate(fars)
+    order = np.argsort(near, kind="stable")
+    left, right, near = left[order], right[order], 1.0 / (1 + near[order])
+
+    def open_pairs() -> np.ndarray:
+        tops = np.array([top(int(x)) for x in root])
+        return np.flatnonzero(tops[left] != tops[right])
+
+    # first the members that are nearest to the others on average, such as the middle of a star: this order only saves time
+    rest, tried = np.arange(len(left)), np.zeros(len(node), bool)
+    for _ in range(8):
+        if len(rest) <= len(node):
+            break
+        pairs = np.bincount(left[rest], minlength=len(node)) + np.bincount(right[rest], minlength=len(node))
+        total = np.bincount(left[rest], near[rest], len(node)) + np.bincount(right[rest], near[rest], len(node))
+        middle = int(np.where(tried | (2 * pairs < pairs.max()), -1.0, total / np.maximum(pairs, 1)).argmax())
+        tried[middle] = True
+        for k in rest[(left[rest] == middle) | (right[rest] == middle)].tolist():
+            compare(int(left[k]), int(right[k]))
+        rest = open_pairs()
+    # each member with its nearest; then all that is left
+    _, least = np.unique(np.stack([left[rest], right[rest]], axis=1).ravel(), return_index=True)
+    for k in rest[np.unique(least // 2)].tolist():
+        compare(int(left[k]), int(right[k]))
+    for k in open_pairs().tolist():
+        i, j = int(left[k]), int(right[k])
+        if top(int(root[i])) != top(int(root[j])) and least_common(i, j) == key[i]:
+            compare(i, j)
+    return links
+
+
+_NUMBERS = ("bucket", "first", "second", "node", "root", "count", "home", "salt", "key")
+
+
+def _settled_blocks(similarity: float):
+    """For mapInArrow: rows come sorted by block; a block may go on in the next batch."""
+
+    def flat(batch, name: str) -> list[np.ndarray]:
+        column = batch.column(name)
+        values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+        return [values[ends[r] : ends[r + 1]] for r in range(len(column))]
+
+    def settle(batches):
+        import pyarrow as pa
 
+        def closed(parts: list) -> pa.RecordBatch | None:
+            if sum(len(p[0]["node"]) for p in parts) < 2:
+                return None
+            block = {c: np.concatenate([p[0][c] for p in parts]) for c in _NUMBERS}
+            block["bag"] = np.frombuffer(b"".join(x for p in parts for x in p[1]), np.uint8).reshape(-1, BAG).astype(np.int16)
+            links = settled(block, [x for p in parts for x in p[2]], [x for p in parts for x in p[3]], similarity)
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], names=["u", "v"]) if links else None
 
-def _crossing(members: DataFrame, roots: DataFrame, classes: DataFrame, similarity: float, nearest: bool) -> DataFrame:
-    """(node, leader): pairs of members (node, key, count) that share a key, have different roots (u, root) and can be alike
-    by their lengths and the bags of classes (node, bag). Each such pair; or, with nearest, each member's nearest one in a block.
+        held, last = [], None
+        for batch in batches:
+            numbers = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in _NUMBERS}
+            bags, sketches, words = batch.column("bag").to_pylist(), flat(batch, "sketches"), flat(batch, "words")
+            new = np.zeros(batch.num_rows, bool)
+            for c in ("bucket", "first", "second"):
+                new[1:] |= numbers[c][1:] != numbers[c][:-1]
+            edges = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if a == b:
+                    continue
+                name = tuple(int(numbers[c][a]) for c in ("bucket", "first", "second"))
+                if held and name != last:
+                    if (out := closed(held)) is not None:
+                        yield out
+                    held = []
+                held.append(({c: numbers[c][a:b] for c in _NUMBERS}, bags[a:b], sketches[a:b], words[a:b]))
+                last = name
+        if held and (out := closed(held)) is not None:
+            yield out
+
+    return settle
+
+
+def _crossing(members: DataFrame, roots: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): links that connect all members (node, key, count) which share a key, have different roots (u, root) and are alike.
 
     A bucket falls into groups of like lengths; a member belongs to its own group and to the next, so that any two texts
-    whose lengths allow a link meet. Groups are dealt into salts of about BLOCK members, and each two salts meet in a block:
-    what is compared grows with the square of a group, what is shuffled and what a task holds does not.
+    whose lengths allow a link meet. Of a group the members of its largest component need no comparison with each other.
+    Where a group is too large for one block, they and the others are dealt into salts of bounded size; each two salts of the others, and each of these and each of
+    the largest component's, meet in a block. What is compared grows with the square of the texts of a group that are not
+    alike; what a task holds does not.
     """
     members = members.join(roots, members["node"] == roots["u"], "left").select("node", "key", "count", F.coalesce("root", "node").alias("root"))
     members = written(members, "near-rooted")
@@ -272,52 +401,38 @@ def _crossing(members: DataFrame, roots: DataFrame, classes: DataFrame, similari
     # a little more than the ratio that a link allows, so that rounding can't part two texts
     step = math.log(1.0001 / max(similarity, 1e-9))
     own = F.floor(F.log(F.col("count").cast("double")) / step)
-    members = written(members.withColumn("own", own).withColumn("group", F.explode(F.array(F.col("own"), F.col("own") + 1))).withColumn("home", F.col("own") == F.col("group")).withColumn("bucket", F.xxhash64("key", "group")).drop("own", "group", "key"), "near-grouped")
-    groups = members.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("n"), F.max("home").alias("any")).where("a <> b and any")
-    groups = groups.select(F.bitwise_not("bucket").alias("other"), F.ceil(F.col("n") / BLOCK).cast("int").alias("salts"))
-    dealt = members.join(groups, F.bitwise_not("bucket") == F.col("other")).withColumn("salt", F.pmod(F.xxhash64("node", "bucket"), F.col("salts")).cast("int"))
-    dealt = dealt.join(classes.select("node", "bag"), "node").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    columns = ["node", "root", "count", "home", "salt", "bag"]
-    blocked = dealt.groupBy("bucket", F.least("salt", "with").alias("first"), F.greatest("salt", "with").alias("second")).agg(F.collect_list(F.struct(*columns)).alias("m"))
-    blocked = blocked.where(F.size("m") > 1).select((F.col("first") < F.col("second")).alias("crossed"), *[F.col(f"m.{c}").alias(c) for c in columns])
-
-    def paired(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            held = {c: batch.column(c) for c in columns}
-            ends = {c: held[c].offsets.to_numpy() for c in columns}
-            flat = {c: held[c].values.to_numpy(zero_copy_only=False) for c in columns if c != "bag"}
-            crossed, bags = batch.column("crossed").to_pylist(), held["bag"].values
-            for r in range(batch.num_rows):
-                sides = {c: flat[c][ends[c][r] : ends[c][r + 1]] for c in flat}
-                some = b"".join(bags[ends["bag"][r] : ends["bag"][r + 1]].to_pylist())
-                sides |= {"words": sides["count"], "bag": np.frombuffer(some, np.uint8).reshape(-1, BAG).astype(np.int16), "crossed": crossed[r]}
-                left, right = _paired(sides, similarity, nearest)
-                if left and sum(map(len, left)):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (left, right)], names=["node", "leader"])
-
-    pairs = blocked.mapInArrow(paired, "node long, leader long")
-    return written(pairs.select(F.greatest("node", "leader").alias("node"), F.least("node", "leader").alias("leader")).distinct(), "near-pairs")
-
-
-def linked_classes(classes: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
-    """(u, root) for classes (node, sketches, count, bag) that links connect.
-
-    The members of the buckets of each text's first FIRST k-mers are compared with the bucket's leader, which joins large
-    groups of near copies at linear cost. Then, in all buckets, members of different components: first each with its
-    nearest by word counts, which finds the middle of a star; then every pair that is left.
-    """
-    members = _members(classes)
-    links = links_of(members.where(F.col("band") < FIRST).select("node", "key"), words, similarity)
-    for nearest in (True, False):
-        pairs = _crossing(members, components(links), classes, similarity, nearest)
-        links = links.unionByName(_alike_of(pairs, words, similarity))
-    return components(links)
+    members = members.withColumn("own", own).withColumn("group", F.explode(F.array(F.col("own"), F.col("own") + 1))).withColumn("home", F.col("own") == F.col("group"))
+    members = written(members.withColumn("bucket", F.xxhash64("key", "group")).drop("own", "group"), "near-grouped")
+    parts = members.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("count").cast("long")).alias("w"), F.max("home").alias("home"))
+    groups = parts.groupBy("bucket").agg(F.max(F.struct("n", "root", "w")).alias("most"), F.count(F.lit(1)).alias("roots"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.max("home").alias("any")).where("roots > 1 and any")
+
+    def salts(n, w):
+        return F.greatest(F.ceil(n / BLOCK), F.ceil(w / BLOCK_WORDS), F.lit(1)).cast("int")
+
+    groups = groups.select(F.bitwise_not("bucket").alias("other"), F.col("most.root").alias("major"), salts(F.col("n") - F.col("most.n"), F.col("w") - F.col("most.w")).alias("few"), salts(F.col("most.n"), F.col("most.w")).alias("many"), salts(F.col("n"), F.col("w")).alias("whole"))
+    # what fits in one block as a whole goes there: few is 0 then, and the one salt is the largest component's
+    groups = groups.withColumn("few", F.when(F.col("whole") == 1, 0).otherwise(F.col("few"))).withColumn("many", F.when(F.col("whole") == 1, 1).otherwise(F.col("many"))).drop("whole")
+    dealt = members.join(groups, F.bitwise_not("bucket") == F.col("other")).withColumn("in_major", (F.col("few") == 0) | (F.col("root") == F.col("major")))
+    dealt = dealt.withColumn("salt", F.when(F.col("in_major"), F.col("few") + F.pmod(F.xxhash64("node", "bucket"), F.col("many"))).otherwise(F.pmod(F.xxhash64("node", "bucket"), F.col("few"))).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.when(F.col("in_major"), F.greatest("few", F.lit(1))).otherwise(F.col("few") + F.col("many")) - 1)))
+    dealt = dealt.select("bucket", F.least("salt", "with").alias("first"), F.greatest("salt", "with").alias("second"), "node", "root", "count", "home", "salt", "key")
+    dealt = written(dealt, "near-dealt")
+    wanted = dealt.select("node").distinct()
+    log2_bits = bitfilter.log2_bits_for(dealt.count())
+    needed = bitfilter.with_maybe(texts, F.col("node"), bitfilter.seen(wanted, "node", log2_bits), log2_bits, "__sg_maybe").where("__sg_maybe").drop("__sg_maybe")
+    blocks_of = dealt.join(needed, "node").select(*_NUMBERS, "bag", "sketches", "words").repartition("bucket", "first", "second").sortWithinPartitions("bucket", "first", "second")
+    return written(blocks_of.mapInArrow(_settled_blocks(similarity), "u long, v long"), "near-links")
+
+
+def linked_classes(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(u, root) for the nodes of members (node, count, band, key) that links connect; texts: (node, bag, sketches, words)."""
+    links = links_of(members.where(F.col("band") % SKETCHES < FIRST).select("node", "key"), texts.select("node", "words"), similarity)
+    more = _crossing(members, components(links), texts, similarity)
+    return components(links.unionByName(more))
 
 
 def _members(classes: DataFrame) -> DataFrame:
-    """(node, count, band, key): sampled k-mers that more than one class has, by a fixed-size filter; some others pass, too."""
+    """(node, count, band, key): sketches that more than one class has, by a fixed-size filter; some others pass, too."""
     members = classes.select("node", "count", F.posexplode("sketches").alias("band", "key"))
     shared = written(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "near-shared")
     log2_bits = bitfilter.log2_bits_for(shared.count())
@@ -339,16 +454,17 @@ def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     docs = without(docs, "class_id", "copy_of", "kept")
     rows = written(_sketched(docs, text_column, keep_text).withColumn("__sg_row", F.monotonically_increasing_id()), "near-rows")
     least = F.min(F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), F.col("__sg_row").alias("row")))
-    classes = rows.groupBy("__sg_sequence").agg(least.alias("least"), F.first("__sg_sketches").alias("sketches"), F.first(F.size("__sg_words")).alias("count"), F.first("__sg_bag").alias("bag"))
-    classes = written(classes.select("__sg_sequence", "least", F.col("least.row").alias("node"), "sketches", "count", "bag"), "near-classes")
-    words = rows.select(F.col("__sg_row").alias("node"), F.col("__sg_words").alias("words"))
-    roots = written(linked_classes(classes.select("node", "sketches", "count", "bag"), words, similarity), "near-roots")
+    classes = written(rows.groupBy("__sg_sequence").agg(least.alias("least")).select("__sg_sequence", "least", F.col("least.row").alias("node")), "near-classes")
+    texts = rows.select(F.col("__sg_row").alias("node"), F.col("__sg_bag").alias("bag"), F.col("__sg_sketches").alias("sketches"), F.col("__sg_words").alias("words"))
+    firsts = rows.select("__sg_row", "__sg_sketches", F.size("__sg_words").alias("count")).join(classes.select("node"), F.col("__sg_row") == F.col("node"), "left_semi")
+    members = _members(firsts.select(F.col("__sg_row").alias("node"), "count", F.col("__sg_sketches").alias("sketches")))
+    roots = written(linked_classes(members, texts, similarity), "near-roots")
 
     every = roots.select("u", "root").unionByName(roots.select(F.col("root").alias("u"), "root").distinct())
     linked = written(classes.select("node", "least").join(every, F.col("node") == F.col("u")).select("node", "least", "root"), "near-linked")
     tops = linked.groupBy("root").agg(F.min("least").alias("top")).select(F.bitwise_not("root").alias("other"), "top")
     linked = linked.join(tops, F.bitwise_not("root") == F.col("other")).select(F.col("node").alias("u"), "top")
     known = classes.join(linked, F.col("node") == F.col("u"), "left").select(F.reverse("__sg_sequence").alias("other"), "least", F.coalesce("top", "least").alias("top"))
-    out = rows.drop("__sg_bag").join(known, F.reverse("__sg_sequence") == F.col("other"))
+    out = rows.drop("__sg_bag", "__sg_words", "__sg_sketches").join(known, F.reverse("__sg_sequence") == F.col("other"))
     names = [c for c in docs.columns if keep_text or c != text_column]
     return out.select(*[F.col(f"`{c}`") for c in names], F.col("top.id").alias("class_id"), F.col("least.id").alias("copy_of"), (F.col("__sg_row") == F.col("top.row")).alias("kept"))
