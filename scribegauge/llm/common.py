@@ -26,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
     if not _local:
         _local.append("file://" + tempfile.mkdtemp(prefix="scribegauge-"))
     return _local[0]

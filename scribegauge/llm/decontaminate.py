@@ -5,7 +5,8 @@ every text is hashed under every mask and joined with the seeds of the benchmark
 text and item; along it tokens are compared in place, and the pair counts if some window of consecutive tokens agrees
 in enough places. The two masks were chosen so that any window of 13 tokens with at most two substitutions holds a hit,
 wherever the substitutions are. Items shorter than the window, but not than a mask, have seeds of whole runs besides: as
-many disjoint runs as an item may have substitutions, and one more, so that one of them is whole.
+many disjoint runs as an item may have substitutions, and one more, so that one of them is whole. Items shorter than a
+mask are looked up whole: a text overlaps one where it holds all its tokens in a row.
 """
 
 from __future__ import annotations
@@ -43,8 +44,8 @@ def _runs(rows: DataFrame, keep: list[str], length: int) -> DataFrame:
 def overlaps(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", masks: tuple[str, ...] = MASKS, window: int = WINDOW, agreement: float = AGREEMENT) -> DataFrame:
     """(__sg_key, item_id, agreeing, compared): distinct texts of docs and the items that they overlap.
 
-    agreeing of compared tokens are equal along the best diagonal. An item shorter than a mask has no seeds and matches
-    nothing; one shorter than the window has to agree as a whole.
+    agreeing of compared tokens are equal along the best diagonal. An item shorter than the window is compared as a
+    whole, and one shorter than a mask has to agree in every token.
     """
     if len({len(m) for m in masks}) != 1:
         raise ValueError("masks must be equally long")
@@ -52,7 +53,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", i
     items = written(items.withColumn("__sg_item", F.xxhash64("item_id", "__sg_tokens")), "benchmark-items")
     # e substitutions leave one of e + 1 runs whole
     size = F.size("__sg_tokens")
-    short = items.where((size >= len(masks[0])) & (size < window)).withColumn("__sg_run", F.floor(size / (F.floor(size * (1 - agreement) + 1e-9) + 1)).cast("int"))
+    run = F.when(size < len(masks[0]), size).otherwise(F.floor(size / (F.floor(size * (1 - agreement) + 1e-9) + 1)).cast("int"))
+    short = items.where((size > 0) & (size < window)).withColumn("__sg_run", run)
     lengths = sorted(r[0] for r in short.select("__sg_run").distinct().collect())
     seeds = unioned([_positions(items, ["__sg_item"], masks), *[_runs(short.where(F.col("__sg_run") == n), ["__sg_item"], n) for n in lengths]])
     seeds = written(seeds.withColumnRenamed("__sg_pos", "__sg_at").distinct(), "benchmark-seeds")

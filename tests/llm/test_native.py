@@ -83,8 +83,10 @@ def brute_overlaps(text, item, window=13, share=0.8):
     split = lambda t: [w for w in re.split(r"[^\w]+|_", (t or "").lower()) if w]
     a, b = split(text), split(item)
     w = min(window, len(b))
-    if len(b) < 8:
+    if not b:
         return False
+    if len(b) < 8:
+        share = 1.0
     for d in range(-len(b), len(a) + 1):
         same = [a[k + d] == b[k] for k in range(len(b)) if 0 <= k + d < len(a)]
         if any(sum(same[i : i + w]) >= share * w for i in range(len(same) - w + 1)):
