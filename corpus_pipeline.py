@@ -1,8 +1,12 @@
 """The corpus pipeline: language ID, exact and near-deduplication, benchmark decontamination, mixing to target weights.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. run()
-writes each stage's rows to the shared folder and reads them back, so that every stage works on all its predecessor
-kept and lineage ends between stages.
+writes each stage's rows to the shared folder and reads them back: every stage works on all rows that the one before
+it kept, and lineage ends between stages.
+
+Cases: null and empty texts have no language, so the first stage drops them; repeated rows are exact copies, of which
+one stays; very long texts are read whole; ties are settled as each operator states; an empty table gives no rows; other
+columns of documents pass through (one named as an output of the last stage is replaced).
 """
 
 from __future__ import annotations
@@ -55,7 +59,7 @@ STAGES = [
     ("source_mixing", mixing_stage),
 ]
 
-#: Language models, sketches and the seeded mix are beyond SQL; tests compare the stages with brute-force versions.
+#: Language models, sketches and the seeded mix are beyond SQL; tests compare the run with brute-force versions of its stages.
 ORACLE_SQL = None
 
 
