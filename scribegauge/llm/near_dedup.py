@@ -141,11 +141,11 @@ def blocks(texts: list[str], characters: int = 1 << 21) -> Iterator[list[str]]:
 def alike(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
     """Whether the edit distance over words is at most (1 - similarity) of the longer text's length."""
     most = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
-    return edit_distance_within(a, b, most) <= most
+    return edit_distance_within(a, b, most, exact=False) <= most
 
 
-def edit_distance_within(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """The edit distance of two word sequences if it is at most most, else more than most."""
+def edit_distance_within(a: np.ndarray, b: np.ndarray, most: int, exact: bool = True) -> int:
+    """The edit distance of two word sequences if it is at most most, else more than most. Not exact: at most most if it is."""
     if abs(len(a) - len(b)) > most:
         return most + 1
     n = min(len(a), len(b))
@@ -157,22 +157,32 @@ def edit_distance_within(a: np.ndarray, b: np.ndarray, most: int) -> int:
     a, b = a[: len(a) - tail], b[: len(b) - tail]
     if not len(a) or not len(b):
         return max(len(a), len(b))
+    if not exact and max(len(a), len(b)) <= most:
+        return most
     listed, other = a.tolist(), b.tolist()
     words, others = set(listed), set(other)
     if max(len(words), len(others)) - len(words & others) > most:
         return most + 1
     most_here = min(most, max(len(a), len(b)))
-    return _banded(listed, other, most_here) if len(a) > most_here else _rows(a, b)
+    return _banded(listed, other, most_here) if len(a) > most_here else _whole(listed, other)
 
 
-def _rows(a: np.ndarray, b: np.ndarray) -> int:
-    """All rows of the table, each at once: for short remainders that a band would cover whole."""
-    steps = np.arange(len(b) + 1)
-    row = steps.copy()
-    for i, x in enumerate(a, 1):
-        best = np.minimum(row[1:] + 1, row[:-1] + (b != x))
-        row = np.minimum.accumulate(np.concatenate([[i], best]) - steps) + steps
-    return int(row[-1])
+def _whole(a: list[int], b: list[int]) -> int:
+    """The edit distance by whole columns of the table, each as bits of integers: for remainders that a band would cover."""
+    places: dict[int, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, distance = full, 0, len(a)
+    for x in b:
+        equal = places.get(x, 0)
+        diagonal = (((equal & up) + up) ^ up) | equal | down
+        right, left = down | (full & ~(diagonal | up)), up & diagonal
+        distance += bool(right & last)
+        distance -= bool(left & last)
+        right, left = right << 1 | 1, left << 1
+        up, down = (left | ~(diagonal | right)) & full, right & diagonal & full
+    return distance
 
 
 def _banded(a: list[int], b: list[int], most: int) -> int:
@@ -261,26 +271,32 @@ def settled(block: dict[str, np.ndarray], sketches: list[np.ndarray], words: lis
     """Links between a block's members of different roots: enough of them that every pair that is alike, and has its least
     common sketch as the block's key, gets connected. Pairs nearest by their bags are compared first, and pairs that
     links of this block already connect are not compared."""
-    node, root, count, home, salt, key, bags = (block[k] for k in ("node", "root", "count", "home", "salt", "key", "bag"))
-    here = np.flatnonzero(salt == salt.min())
-    there = np.flatnonzero(salt != salt.min())
-    if len(there) and len(there) < len(here):
-        here, there = there, here
-    bags = np.ascontiguousarray(bags.T)  # a counter of all members lies together
+    # by length, so that the members whose lengths fit lie together
+    order = np.lexsort((block["count"], block["salt"]))
+    node, root, count, home, salt, key = (block[k][order] for k in ("node", "root", "count", "home", "salt", "key"))
+    bags = np.ascontiguousarray(block["bag"][order].T)  # a counter of all members lies together
+    sketches, words = [sketches[i] for i in order], [words[i] for i in order]
     sums = bags.sum(axis=0, dtype=np.int64)
+    cut = int(np.searchsorted(salt, salt[0], side="right"))
+    here, there = (0, cut), (cut, len(node))
+    if there[0] < there[1] and there[1] - there[0] < cut:
+        here, there = there, here
     lefts, rights, fars = [], [], []
-    for n, i in enumerate(here.tolist()):
-        at = there if len(there) else here[n + 1 :]
+    for i in range(*here):
+        first, last = there if there[0] < there[1] else (i + 1, here[1])
+        first = first + int(np.searchsorted(count[first:last], math.floor(count[i] * similarity) - 1))
+        last = first + int(np.searchsorted(count[first:last], math.ceil(count[i] / max(similarity, 1e-9)) + 1, side="right"))
+        at = slice(first, last)
         most = ((1 - similarity) * np.maximum(count[i], count[at]) + 1e-9).astype(np.int64)
         fit = (root[at] != root[i]) & (home[at] | home[i]) & (np.abs(count[at] - count[i]) <= most) & (key[at] == key[i])
         if not fit.any():
             continue
-        at, most = at[fit], most[fit]
-        far = np.abs(bags[:, at] - bags[:, i : i + 1]).sum(axis=0, dtype=np.int32).astype(np.int64)
-        possible = (far + np.abs(sums[at] - sums[i])) // 2 <= most
-        if possible.any():
-            lefts.append(np.full(int(possible.sum()), i, np.int32))
-            rights.append(at[possible].astype(np.int32))
+        # at most BAG * 255, which 16 bits without a sign hold
+        far = np.abs(bags[:, at] - bags[:, i : i + 1]).view(np.uint16).sum(axis=0, dtype=np.uint16).astype(np.int64)
+        possible = np.flatnonzero(fit & ((far + np.abs(sums[at] - sums[i])) // 2 <= most))
+        if len(possible):
+            lefts.append(np.full(len(possible), i, np.int32))
+            rights.append((first + possible).astype(np.int32))
             fars.append(far[possible])
     if not lefts:
         return []
