@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from .text import IDEOGRAPHS, SPACES, _nfkc, normalize, replace_matches, strip, strip_events, without_spaces
+from .text import IDEOGRAPHS, SPACES, _nfkc, nfkc_all, normalize, replace_matches, strip, strip_events, without_spaces
 
 #: Numerals and their digits, units, and the shapes of number tokens.
 NUMERALS, DIGITS = "零〇一二两三四五六七八九", "001223456789"
@@ -110,9 +110,10 @@ def join_spoken_digits(text: Column) -> Column:
     return replace_matches(text, SPOKEN_DIGITS, lambda m: F.regexp_replace(m, f"[^{NUMERALS}]", ""))
 
 
-def extract_numbers(text: Column, nfkc: bool = True) -> Column:
+def extract_numbers(text: Column, nfkc: bool = True, events: bool = True) -> Column:
     """array<string> of the numbers in a raw text, in order."""
-    joined = join_spoken_digits(normalize(text, keep_punctuation=True, nfkc=nfkc))
+    normal = normalize(text, keep_punctuation=True, nfkc=nfkc, events=events)
+    joined = F.when(normal.rlike(SPOKEN_DIGITS), join_spoken_digits(normal)).otherwise(normal)
     return F.filter(F.transform(F.regexp_extract_all(joined, F.lit(TOKEN), F.lit(0)), number_token), lambda x: x.isNotNull() & (x != ""))
 
 
@@ -169,10 +170,11 @@ def math_normal(text: Column) -> Column:
 def target_forms(numbers: Column) -> Column:
     """array<struct<display, forms>>: what the case lists, and the forms under which it may occur."""
 
-    def one(value: Column) -> Column:
-        # lists are short and given by hand; NFKC of their values is the loader's task, as lambdas hold no Python
-        normal, found = normalize(value, nfkc=False), extract_numbers(value, nfkc=False)
+    def one(value: Column, plain: Column) -> Column:
+        normal, found = normalize(plain, nfkc=False, events=False), extract_numbers(plain, nfkc=False, events=False)
         return F.struct(strip(value).alias("display"), F.array_distinct(F.filter(F.concat(F.array(normal), found), lambda f: f != "")).alias("forms"))
 
-    listed = F.transform(F.coalesce(numbers, F.array().cast("array<string>")), one)
+    numbers = F.coalesce(numbers, F.array().cast("array<string>"))
+    # lambdas hold no Python, so NFKC comes first
+    listed = F.zip_with(numbers, nfkc_all(F.transform(numbers, strip_events)), one)
     return F.filter(listed, lambda t: (t["display"] != "") & (F.size(t["forms"]) > 0))

@@ -8,7 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 #: Unicode white space; scripts that are kept besides letters, digits and underscore.
 SPACES = r"\s\x0b\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -25,6 +25,12 @@ def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def nfkc_all(texts: pd.Series) -> pd.Series:
+    """NFKC of each text of an array."""
+    return texts.map(lambda a: a if a is None else [t if t is None or t.isascii() else unicodedata.normalize("NFKC", t) for t in a])
+
+
 def strip(text: Column) -> Column:
     """Without white space of any kind at either end."""
     return F.regexp_replace(text, f"^[{SPACES}]+|[{SPACES}]+$", "")
@@ -39,9 +45,10 @@ def strip_events(text: Column) -> Column:
     return F.regexp_replace(text, r"\[[^\]]+\]", " ")
 
 
-def normalize(text: Column, keep_punctuation: bool = False, nfkc: bool = True) -> Column:
-    """Events out, NFKC, lower case, marks to spaces (unless kept), single spaces. nfkc: false if texts are known stable."""
-    out = strip_events(text)
+def normalize(text: Column, keep_punctuation: bool = False, nfkc: bool = True, events: bool = True) -> Column:
+    """Events out, NFKC, lower case, marks to spaces (unless kept), single spaces. nfkc: false if texts are known stable;
+    events: false if they are out already."""
+    out = strip_events(text) if events else text
     out = F.lower(_nfkc(out) if nfkc else out)
     if not keep_punctuation:
         out = F.regexp_replace(out, f"[^{WORD}{SPACES}{IDEOGRAPHS}{ARABIC}.%-]", " ")

@@ -9,6 +9,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from .text import ARABIC, IDEOGRAPHS, SENTENCE_MARK, normalize, without_spaces
 
+#: Code points above the first plane.
+MOST_SHARED = 0x100000
 METRICS = ("cer", "wer", "hybrid_ter")
 #: Words join on hyphens and apostrophes, numbers on commas and points.
 LATIN = r"[a-zA-Z]+(?:[-'][a-zA-Z]+)*"
@@ -22,6 +24,18 @@ def characters(normal: Column) -> Column:
     return F.when(packed == "", F.array().cast("array<string>")).otherwise(F.split(packed, ""))
 
 
+def character_count(normal: Column) -> Column:
+    return F.char_length(without_spaces(normal))
+
+
+def word_count(normal: Column) -> Column:
+    return F.regexp_count(normal, F.lit(f"{LATIN}|{NUMBER}"))
+
+
+def hybrid_count(normal: Column) -> Column:
+    return F.regexp_count(normal, F.lit(f"(?i){HYBRID}"))
+
+
 def words(normal: Column) -> Column:
     return F.regexp_extract_all(normal, F.lit(f"{LATIN}|{NUMBER}"), F.lit(0))
 
@@ -39,14 +53,26 @@ def metric_tokens(metric: Column, text: Column, normalized: bool = False) -> Col
 
 @F.pandas_udf(StructType([StructField("a", StringType()), StructField("b", StringType())]))
 def _coded(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    """Both token arrays as strings of one code point for each distinct token, so that string distance is token distance."""
+    """Both token arrays as strings of one code point for each token that both have, so that string distance is token
+    distance. Tokens that one side has alone are equal to nothing on the other, so one code point a side does for them all."""
     made = []
     for x, y in zip(a, b, strict=True):
-        codes: dict[str, str] = {}
-        made.append(tuple(None if side is None else "".join(codes.setdefault(t, chr(0x10000 + len(codes))) for t in side) for side in (x, y)))
+        if x is None or y is None:
+            made.append((None, None))
+            continue
+        both = set(x) & set(y)
+        shared = {t: n for n, t in enumerate(both)}
+        if len(shared) > MOST_SHARED:
+            raise ValueError(f"more than {MOST_SHARED} distinct tokens in common: beyond what a distance can be computed for")
+        made.append(tuple("".join(chr(0x10000 + shared[t]) if t in shared else own for t in side) for side, own in ((x, "a"), (y, "b"))))
     return pd.DataFrame(made, columns=["a", "b"])
 
 
+def character_distance(a: Column, b: Column) -> Column:
+    """Levenshtein distance of the character tokens of two normalised texts, without making the tokens."""
+    return F.levenshtein(without_spaces(a), without_spaces(b))
+
+
 def token_distance(a: Column, b: Column) -> Column:
     """Levenshtein distance of two token arrays."""
     coded = _coded(a, b)
@@ -61,8 +87,8 @@ def error_rate(reference: Column, hypothesis: Column, distance: Column) -> Colum
 
 def repetition_rate(tokens: Column, n: int = 4) -> Column:
     """Share of n-grams that repeat an earlier one; 0 for fewer than 2n tokens."""
-    grams = F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), "\x00"))
-    return F.when(F.size(tokens) >= 2 * n, (F.size(grams) - F.size(F.array_distinct(grams))) / F.size(grams)).otherwise(0.0)
+    grams, made = F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), "\x00")), F.size(tokens) - (n - 1)
+    return F.when(F.size(tokens) >= 2 * n, (made - F.size(F.array_distinct(grams))) / made).otherwise(0.0)
 
 
 def sentence_marks(text: Column) -> Column:

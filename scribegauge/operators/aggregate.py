@@ -56,8 +56,9 @@ def by_scenario(records: DataFrame, *more: str) -> DataFrame:
 
 
 def rollup(records: DataFrame, *columns: str) -> DataFrame:
-    """Counts and weighted means at every level of a breakdown, such as language and scenario; null is 'all'."""
-    return records.rollup(*columns).agg(F.count(F.lit(1)).alias("case_count"), F.sum("effective_weight").alias("weight"), weighted_mean(F.col("text_score_90"), F.col("effective_weight"), F.lit(True)).alias("weighted_text_score_90"))
+    """Counts and weighted means at every level of a breakdown, such as language and scenario. Columns beyond a row's level
+    are null; level, the grouping id, tells them from null values: 0 where none is left out."""
+    return records.rollup(*columns).agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("case_count"), F.sum("effective_weight").alias("weight"), weighted_mean(F.col("text_score_90"), F.col("effective_weight"), F.lit(True)).alias("weighted_text_score_90"))
 
 
 def category_counts(cases: DataFrame, columns: list[str], position: str = "position", limit: int | None = None) -> DataFrame:

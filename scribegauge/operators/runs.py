@@ -26,8 +26,10 @@ def run_totals(rows: DataFrame, *keys: str) -> DataFrame:
 
 def apportioned(rows: DataFrame, group: str = "language") -> DataFrame:
     """Each case's part of its group's inference seconds, by its part of the group's audio."""
-    audio = F.sum("duration_sec").over(Window.partitionBy(group))
-    return rows.withColumn("group_audio_sec", audio).withColumn("infer_sec", F.when(audio > 0, F.col("group_infer_sec") * F.col("duration_sec") / audio).otherwise(0.0))
+    # summed before the join, whose large side adaptive execution can split or leave where it is: a group may hold most rows
+    sums = rows.groupBy(F.col(group).alias("__group")).agg(F.sum("duration_sec").alias("group_audio_sec"))
+    audio = F.col("group_audio_sec")
+    return rows.join(sums, F.col(group).eqNullSafe(F.col("__group"))).drop("__group").withColumn("infer_sec", F.when(audio > 0, F.col("group_infer_sec") * F.col("duration_sec") / audio).otherwise(0.0))
 
 
 def with_case_metadata(audio: DataFrame, cases: DataFrame) -> DataFrame:

@@ -23,7 +23,9 @@ def _none(kind: str = STRINGS) -> Column:
 
 def expected_terms(terms: Column, reference_normal: Column, prediction_normal: Column) -> Column:
     """array<struct<term, hit>> of the terms that occur in the reference, repeats kept."""
-    named = F.transform(F.coalesce(terms, _none()), lambda t: F.struct(t.alias("term"), X.normalize(t, nfkc=False).alias("normal")))
+    terms = F.coalesce(terms, _none())
+    # lambdas hold no Python, so NFKC comes first
+    named = F.zip_with(terms, X.nfkc_all(F.transform(terms, X.strip_events)), lambda t, plain: F.struct(t.alias("term"), X.normalize(plain, nfkc=False, events=False).alias("normal")))
     held = F.filter(named, lambda x: (x["normal"] != "") & F.contains(reference_normal, x["normal"]))
     return F.transform(held, lambda x: F.struct(x["term"].alias("term"), F.contains(prediction_normal, x["normal"]).alias("hit")))
 
@@ -83,7 +85,9 @@ def measured(pairs: DataFrame, nfkc: bool = True) -> DataFrame:
     """pairs (reference, prediction, metric, keywords, numbers, punctuation) plus all score columns of each pair."""
     df = _with(pairs, {"__ref": X.normalize(F.col("reference"), nfkc=nfkc), "__hyp": X.normalize(F.col("prediction"), nfkc=nfkc)})
     df = _with(df, {"__ref_tokens": T.metric_tokens(F.col("metric"), F.col("__ref"), True), "__hyp_tokens": T.metric_tokens(F.col("metric"), F.col("__hyp"), True)})
-    df = _with(df, {"__distance": T.token_distance(F.col("__ref_tokens"), F.col("__hyp_tokens"))})
+    by_characters = F.col("metric") == "cer"
+    coded = [F.when(~by_characters, F.col(c)) for c in ("__ref_tokens", "__hyp_tokens")]
+    df = _with(df, {"__distance": F.when(by_characters, T.character_distance(F.col("__ref"), F.col("__hyp"))).otherwise(T.token_distance(*coded))})
     df = _with(df, {"primary_error_rate": T.error_rate(F.col("__ref_tokens"), F.col("__hyp_tokens"), F.col("__distance"))})
     df = _with(df, {"__keywords": expected_terms(F.col("keywords"), F.col("__ref"), F.col("__hyp"))})
     df = _with(df, term_scores(F.col("__keywords"), "keyword"))
@@ -121,7 +125,7 @@ def score_cases(cases: DataFrame, mode: str = "zero_shot", configured: dict[str,
     review_level, punctuation, keywords, numbers, hotwords, alias_groups (array<array<string>>), itn_domain, itn_domains,
     reference, prediction. to_simplified: a function of a text column that converts script, where one is available.
     """
-    df = C.with_weights(cases, configured).withColumn("metric", F.col("primary_error_metric")).withColumn("__case", F.monotonically_increasing_id())
+    df = C.with_weights(cases, configured).withColumn("metric", F.col("primary_error_metric"))
     raw = measured(df, nfkc)
     raw = _with(raw, {"__hotwords": expected_terms(F.col("hotwords"), F.col("__ref"), F.col("__hyp"))})
     raw = _with(raw, term_scores(F.col("__hotwords"), "hotword") | term_lists(F.col("__hotwords"), "hotword"))
@@ -130,7 +134,7 @@ def score_cases(cases: DataFrame, mode: str = "zero_shot", configured: dict[str,
     raw = _with(raw, quality_flags(F.col("length_ratio"), F.col("excess_repetition_rate"), F.col("repetition_score"), F.col("hotword_mode")))
     raw = with_math(raw)
     raw = _with(raw, {"weighted_text_score_90": F.col("text_score_90") * F.col("effective_weight")})
-    return _with_variants(raw, df, to_simplified, nfkc)
+    return _with_variants(raw, to_simplified, nfkc)
 
 
 def with_math(df: DataFrame) -> DataFrame:
@@ -144,20 +148,28 @@ def with_math(df: DataFrame) -> DataFrame:
     return _with(df, {"math_itn_format_score_10": F.when(F.col("__math"), score)})
 
 
-def _with_variants(raw: DataFrame, df: DataFrame, to_simplified, nfkc: bool) -> DataFrame:
+def _with_variants(raw: DataFrame, to_simplified, nfkc: bool) -> DataFrame:
+    """raw plus the scores of changed texts. They are measured within each row, so that neither repeated nor null case ids
+    can mix cases; texts are null where a variant does not apply."""
     groups = X.alias_groups(F.coalesce(F.col("alias_groups"), _none("array<array<string>>")))
     japanese, cantonese = F.col("language").eqNullSafe("ja"), F.col("language").eqNullSafe("yue")
-    df = df.withColumn("__groups", groups)
     bare = lambda c: X.strip_furigana(F.col(c))
-    one = lambda name, when, change: F.when(when, F.struct(F.lit(name).alias("variant"), change("reference").alias("reference"), change("prediction").alias("prediction")))
-    made = [one("furigana", japanese, bare), one("alias", japanese & (F.size("__groups") > 0), lambda c: X.fold_aliases(bare(c), F.col("__groups")))]
-    if to_simplified is not None:
-        made.append(one("script", cantonese, lambda c: to_simplified(F.col(c))))
-    variants = df.withColumn("__variant", F.explode(F.array_compact(F.array(*made)))).withColumns({c: F.col(f"__variant.{c}") for c in ("reference", "prediction")})
-    scored = measured(variants, nfkc)
-    picked = {f"__{v}_{s}": F.max(F.when(F.col("__variant.variant") == v, F.col(s))) for v in ("script", "furigana", "alias") for s in VARIANT_SCORES}
-    folded = scored.groupBy(F.col("case_id").alias("__id"), F.col("reference").isNull().alias("__no")).agg(*[c.alias(n) for n, c in picked.items()]).drop("__no")
-    out = raw.join(folded, F.col("case_id") == F.col("__id"), "left").withColumn("__groups", groups)
+    made = {
+        "furigana": (japanese, bare),
+        "alias": (japanese & (F.size("__groups") > 0), lambda c: X.fold_aliases(bare(c), F.col("__groups"))),
+        "script": (cantonese, lambda c: to_simplified(F.col(c))),
+    }
+    out = raw.select(*[F.col(f"`{c}`") for c in raw.columns if not c.startswith("__")], groups.alias("__groups"))
+    inputs = ("metric", "keywords", "numbers", "punctuation", "language", "__groups")
+    for name, (applies, change) in made.items():
+        if name == "script" and to_simplified is None:
+            out = _with(out, {f"__{name}_{c}": F.lit(None).cast("double") for c in VARIANT_SCORES})
+            continue
+        row = F.struct(*[F.col(f"`{c}`") for c in out.columns]).alias("__row")
+        changed = out.select(row, *inputs, *[F.when(applies, change(c)).alias(c) for c in ("reference", "prediction")])
+        held = applies & F.col("reference").isNotNull() & F.col("prediction").isNotNull()
+        scored = measured(changed, nfkc)
+        out = scored.select("__row.*", *[F.when(held, F.col(c)).alias(f"__{name}_{c}") for c in VARIANT_SCORES])
     gain = lambda v: F.col(f"__{v}_text_score_90") - F.col("text_score_90")
     weighed = lambda v: F.col(f"__{v}_text_score_90") * F.col("effective_weight")
     available = "opencc_t2s" if to_simplified is not None else "unavailable_opencc_t2s"

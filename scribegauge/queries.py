@@ -46,8 +46,8 @@ def normalized_text(spark, sf_dir):
 
 def token_counts(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", X.normalize(F.col("text")).alias("normal"))
-    count = lambda x, n: F.size(x).cast("long").alias(n)
-    return docs.select("doc_id", count(T.characters(F.col("normal")), "n_cer"), count(T.words(F.col("normal")), "n_wer"), count(T.hybrid(F.col("normal")), "n_hybrid"))
+    count = lambda x, n: x.cast("long").alias(n)
+    return docs.select("doc_id", count(T.character_count(F.col("normal")), "n_cer"), count(T.word_count(F.col("normal")), "n_wer"), count(T.hybrid_count(F.col("normal")), "n_hybrid"))
 
 
 def _pair_rates(spark, sf_dir, metric):
@@ -57,7 +57,10 @@ def _pair_rates(spark, sf_dir, metric):
 
 
 def cer_pairs(spark, sf_dir):
-    return _pair_rates(spark, sf_dir, "cer")
+    df = pairs(spark, sf_dir).select("conv_id", "turn", X.normalize(F.col("reference")).alias("a"), X.normalize(F.col("prediction")).alias("b"))
+    df = df.withColumns({"n": T.character_count(F.col("a")), "m": T.character_count(F.col("b")), "distance": T.character_distance(F.col("a"), F.col("b"))})
+    rate = F.when(F.col("n") > 0, F.col("distance") / F.col("n")).when(F.col("m") == 0, 0.0).otherwise(1.0)
+    return df.select("conv_id", "turn", F.col("distance").cast("long").alias("distance"), _rounded(rate, "error_rate"))
 
 
 def wer_pairs(spark, sf_dir):
@@ -309,6 +312,16 @@ def _words_sql(normal: str) -> str:
     return f"regexp_extract_all({normal}, '{_LATIN}|{_NUMBER}')"
 
 
+def _hybrid_sql(t: str) -> str:
+    return f"regexp_extract_all({_normal_sql(t)}, '(?i)[{_IDEOGRAPHS}]|{_NUMBER}%?|[{_ARABIC}]+|{_LATIN}')"
+
+
+def _characters_sql(t: str) -> str:
+    """DuckDB's levenshtein counts bytes: letters of the tables' languages beyond ASCII become capitals, which lower-cased
+    texts don't have otherwise."""
+    return f"translate(regexp_replace({_normal_sql(t)}, '[{_SPACES}]+', '', 'g'), 'àâäáçéèêëíîïñóôöúùûüßœæ', 'ABCDEFGHIJKLMNOPQRSTUVW')"
+
+
 _PAIRS = """p AS (SELECT * FROM (SELECT conv_id, turn, role, text AS reference, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prediction FROM conversations)
   WHERE prediction IS NOT NULL AND reference IS NOT NULL)"""
 _PAIR_WORDS = f"{_PAIRS}, w AS MATERIALIZED (SELECT *, {_words_sql(_normal_sql('reference'))} AS a, {_words_sql(_normal_sql('prediction'))} AS b FROM p)"
@@ -408,6 +421,8 @@ _SCORED = f"""{_PAIR_WORDS}, {_DISTANCE}, {_HALLUCINATION}, kf AS (WITH {_KEYWOR
   z AS (SELECT j.conv_id, j.turn, j.role, {_ERROR} AS error, kf.f1 AS kf1, pf.f1 AS pf1, hs FROM j JOIN d USING (conv_id, turn) JOIN kf USING (conv_id, turn) JOIN pf USING (conv_id, turn)),
   y AS (SELECT *, 50 * (1 - least(1.0, error)) + 15 * kf1 + 10 + 10 * hs + 5 * pf1 AS score FROM z)"""
 ORACLE_SQL |= {
+    "cer_pairs": f"WITH {_PAIRS}, c AS (SELECT conv_id, turn, {_characters_sql('reference')} AS a, {_characters_sql('prediction')} AS b FROM p) SELECT conv_id, turn, levenshtein(a, b)::BIGINT AS distance, round(CASE WHEN length(a) > 0 THEN levenshtein(a, b)::DOUBLE / length(a) WHEN length(b) = 0 THEN 0.0 ELSE 1.0 END, 6) AS error_rate FROM c",
+    "hybrid_pairs": f"WITH {_PAIR_WORDS.replace(_words_sql(_normal_sql('reference')), _hybrid_sql('reference')).replace(_words_sql(_normal_sql('prediction')), _hybrid_sql('prediction'))}, {_DISTANCE} SELECT conv_id, turn, distance::BIGINT AS distance, round({_ERROR}, 6) AS error_rate FROM d JOIN w USING (conv_id, turn)",
     "wer_pairs": f"WITH {_PAIR_WORDS}, {_DISTANCE} SELECT conv_id, turn, distance::BIGINT AS distance, round({_ERROR}, 6) AS error_rate FROM d JOIN w USING (conv_id, turn)",
     "score_pairs": f"WITH {_SCORED} SELECT conv_id, turn, role, round(error, 6) AS error_rate, round(kf1, 6) AS keyword_f1, round(pf1, 6) AS punctuation_f1, round(hs, 6) AS hallucination_score, round(score, 6) AS text_score_90 FROM y",
     "role_scores": f"WITH {_SCORED} SELECT role, count(*) AS n, round(sum(score * (turn % 3 + 1)) / sum(turn % 3 + 1), 3) AS weighted_text_score_90 FROM y GROUP BY role",

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scribegauge import queries, sources
+from scribegauge.functions import tokens as T
 from scribegauge.operators import aggregate, audit, cases, runs, scores, segments
 from scribegauge.plans import report
 from scribegauge.sources import sinks
@@ -177,3 +178,33 @@ def test_entry_without_the_llm_folders(spark, small):
 
     assert e.entry(spark).count() > 0
     assert set(queries.QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_variants_of_repeated_and_null_case_ids(spark):
+    """Neither repeated nor null ids mix cases; terms and texts are both brought to NFKC."""
+    none = F.lit(None)
+    rows = [("a", "ja", "漢字（かんじ）です", "漢字です", ["ＡＢＣ"]), ("a", "ja", "x y", "q", None), (None, "ja", "漢字（かんじ）", "漢字", None), ("b", "en", "see ＡＢＣ入門", "ABC入門", ["ＡＢＣ"])]
+    df = spark.createDataFrame(rows, "case_id string, language string, reference string, prediction string, keywords array<string>")
+    fixed = {"scenario": F.lit("s"), "priority": F.lit("p"), "weight": F.lit(1.0), "primary_error_metric": F.lit("cer"), "status": F.lit("ready"), "punctuation": F.lit("normal")}
+    fixed |= {c: none.cast("string") for c in ("review_level", "itn_domain")} | {c: none.cast("array<string>") for c in ("numbers", "hotwords", "itn_domains")}
+    found = scores.score_cases(df.withColumns(fixed | {"alias_groups": none.cast("array<array<string>>")})).collect()
+    assert [(r["case_id"], r["japanese_furigana_stripped_primary_error_rate"]) for r in found] == [("a", 0.0), ("a", 1.0), (None, 0.0), ("b", None)]
+    assert [r["keyword_total"] for r in found] == [0, 0, 0, 1] and found[3]["keyword_f1"] == 1.0
+
+
+def test_distances_of_many_distinct_tokens(values):
+    a, b = [f"t{i}" for i in range(3000)], [f"t{i}" for i in range(0, 3000, 2)] + ["u"]
+    assert values([(a, b)], "a array<string>, b array<string>", T.token_distance(F.col("a"), F.col("b"))) == [1500]
+    assert values([("a é b", "aéc")], "a string, b string", T.character_distance(F.col("a"), F.col("b"))) == [1]
+
+
+def test_rollup_tells_levels_from_nulls(spark):
+    df = spark.createDataFrame([(None, 1.0, 50.0), ("en", 1.0, 70.0)], "language string, effective_weight double, text_score_90 double")
+    assert {(r["level"], r["language"], r["case_count"]) for r in aggregate.rollup(df, "language").collect()} == {(0, None, 1), (0, "en", 1), (1, None, 2)}
+
+
+def test_manifests_as_a_whole(spark):
+    cases, weights = spark.createDataFrame([(1,)], "x int"), spark.createDataFrame([("a", 0.5), ("b", 0.5)], "scenario string, weight double")
+    broken = lambda c, w: {r["rule"] for r in audit.manifest_violations(c, w).collect()}
+    assert broken(cases, weights) == set() and broken(cases, weights.where("false")) == set()
+    assert broken(cases.where("false"), weights.where("scenario = 'a'")) == {"cases", "scenario_weights"}
