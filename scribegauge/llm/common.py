@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 from functools import reduce
 from typing import Any
@@ -15,6 +16,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 #: Names that start so are the operators' own; input columns of these names are dropped.
 OWN = "__sg_"
 _local: list[str] = []
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,8 +46,19 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write df once to the shared folder and read it back: lineage ends here, and a lost executor costs no recomputation."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[table] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what written() wrote, once all that is made of it is itself written: nothing may read these tables again."""
+    for table in tables:
+        if (path := _paths.pop(table, None)) is not None:
+            spark = table.sparkSession
+            jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+            jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
@@ -27,7 +27,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = written(_with_least(both).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "components")
         small = _with_least(large)
         linked = small.select("u", F.col("m").alias("v")).unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        now = written(linked.where("u <> v").distinct(), "components")
+        before, now = now, written(linked.where("u <> v").distinct(), "components")
+        discard(before, large)
         # a star: no node points at two others, and no node that points is pointed at
         ends = now.select("u", F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(now.select(F.col("v").alias("u"), F.lit(0).alias("out"), F.lit(1).alias("into")))
         if ends.groupBy("u").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out + into > 1").isEmpty():

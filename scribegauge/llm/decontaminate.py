@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import need, text_of, unioned, without, written
+from .common import discard, need, text_of, unioned, without, written
 from .lookup import owners_of, rows_with, rows_without, text_key, texts_of, token_hashes
 
 MASKS = ("11010111", "11110011")
@@ -73,7 +73,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", i
     enough = F.exists(starts, lambda s: total(F.slice("__sg_same", s, F.col("__sg_window"))) >= agreement * F.col("__sg_window"))
     found = pairs.where(F.size("__sg_same") >= F.col("__sg_window")).where(enough).select("__sg_key", "item_id", F.struct(total(F.col("__sg_same")).alias("agreeing"), F.size("__sg_same").alias("compared")).alias("__sg_best"))
     best = found.groupBy("__sg_key", "item_id").agg(F.max("__sg_best").alias("__sg_best"))
-    return written(best.select("__sg_key", "item_id", "__sg_best.agreeing", "__sg_best.compared"), "benchmark-overlaps")
+    found = written(best.select("__sg_key", "item_id", "__sg_best.agreeing", "__sg_best.compared"), "benchmark-overlaps")
+    discard(items, seeds, hits)
+    return found
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", **options) -> DataFrame:

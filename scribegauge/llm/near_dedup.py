@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField
 
 from . import bitfilter
-from .common import need, with_python, without, written
+from .common import discard, need, unioned, with_python, without, written
 from .components import components
 from .grams import BASE, _powers_of, mixed, packed, word_hashes, words_in
 
@@ -264,7 +264,9 @@ def links_of(members: DataFrame, words: DataFrame, similarity: float) -> DataFra
 
 
 def _alike_of(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
-    return written(_verified(pairs, words, similarity).where("alike").select(F.col("node").alias("u"), F.col("leader").alias("v")), "near-links")
+    links = written(_verified(pairs, words, similarity).where("alike").select(F.col("node").alias("u"), F.col("leader").alias("v")), "near-links")
+    discard(pairs)
+    return links
 
 
 def settled(block: dict[str, np.ndarray], sketches: list[np.ndarray], words: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -411,7 +413,7 @@ def _crossing(members: DataFrame, roots: DataFrame, texts: DataFrame, similarity
     alike; what a task holds does not.
     """
     members = members.join(roots, members["node"] == roots["u"], "left").select("node", "key", "count", F.coalesce("root", "node").alias("root"))
-    members = written(members, "near-rooted")
+    members = rooted = written(members, "near-rooted")
     mixed_keys = members.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select(F.bitwise_not("key").alias("other"))
     members = members.join(mixed_keys, F.bitwise_not("key") == F.col("other")).drop("other")
     # a little more than the ratio that a link allows, so that rounding can't part two texts
@@ -419,6 +421,7 @@ def _crossing(members: DataFrame, roots: DataFrame, texts: DataFrame, similarity
     own = F.floor(F.log(F.col("count").cast("double")) / step)
     members = members.withColumn("own", own).withColumn("group", F.explode(F.array(F.col("own"), F.col("own") + 1))).withColumn("home", F.col("own") == F.col("group"))
     members = written(members.withColumn("bucket", F.xxhash64("key", "group")).drop("own", "group"), "near-grouped")
+    discard(rooted)
     parts = members.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("count").cast("long")).alias("w"), F.max("home").alias("home"))
     groups = parts.groupBy("bucket").agg(F.max(F.struct("n", "root", "w")).alias("most"), F.count(F.lit(1)).alias("roots"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.max("home").alias("any")).where("roots > 1 and any")
 
@@ -433,11 +436,14 @@ def _crossing(members: DataFrame, roots: DataFrame, texts: DataFrame, similarity
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.when(F.col("in_major"), F.greatest("few", F.lit(1))).otherwise(F.col("few") + F.col("many")) - 1)))
     dealt = dealt.select("bucket", F.least("salt", "with").alias("first"), F.greatest("salt", "with").alias("second"), "node", "root", "count", "home", "salt", "key")
     dealt = written(dealt, "near-dealt")
+    discard(members)
     wanted = dealt.select("node").distinct()
     log2_bits = bitfilter.log2_bits_for(dealt.count())
     needed = bitfilter.with_maybe(texts, F.col("node"), bitfilter.seen(wanted, "node", log2_bits), log2_bits, "__sg_maybe").where("__sg_maybe").drop("__sg_maybe")
     blocks_of = dealt.join(needed, "node").select(*_NUMBERS, "bag", "sketches", "words").repartition("bucket", "first", "second").sortWithinPartitions("bucket", "first", "second")
-    return written(blocks_of.mapInArrow(_settled_blocks(similarity), "u long, v long"), "near-links")
+    links = written(blocks_of.mapInArrow(_settled_blocks(similarity), "u long, v long"), "near-links")
+    discard(dealt)
+    return links
 
 
 def linked_classes(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -453,7 +459,21 @@ def _members(classes: DataFrame) -> DataFrame:
     shared = written(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "near-shared")
     log2_bits = bitfilter.log2_bits_for(shared.count())
     maybe = bitfilter.with_maybe(members, F.col("key"), bitfilter.seen(shared, "key", log2_bits), log2_bits, "__sg_maybe")
-    return written(maybe.where("__sg_maybe").drop("__sg_maybe"), "near-members")
+    members = written(maybe.where("__sg_maybe").drop("__sg_maybe"), "near-members")
+    discard(shared)
+    return members
+
+
+def _numbered(docs: DataFrame, id_column: str, text_column: str, keep_text: bool) -> tuple[DataFrame, DataFrame, str]:
+    """Rows with a number, their sketches by that number (the same table where texts are not kept), and the name of the
+    id beside the sketches. Texts lie apart from the sketches, so that these can be deleted when classes are known."""
+    number = F.monotonically_increasing_id()
+    if not keep_text:
+        rows = written(_sketched(docs, text_column, False).withColumn("__sg_row", number), "near-rows")
+        return rows, rows, id_column
+    rows = written(docs.withColumn("__sg_row", number), "near-rows")
+    narrow = rows.select("__sg_row", F.col(f"`{id_column}`").alias("__sg_id"), F.col(f"`{text_column}`"))
+    return rows, written(_sketched(narrow, text_column, False), "near-sketches"), "__sg_id"
 
 
 def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", similarity: float = SIMILARITY, keep_text: bool = True) -> DataFrame:
@@ -468,19 +488,31 @@ def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     """
     need(docs, id_column, text_column)
     docs = without(docs, "class_id", "copy_of", "kept")
-    rows = written(_sketched(docs, text_column, keep_text).withColumn("__sg_row", F.monotonically_increasing_id()), "near-rows")
-    least = F.min(F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), F.col("__sg_row").alias("row")))
-    classes = written(rows.groupBy("__sg_sequence").agg(least.alias("least")).select("__sg_sequence", "least", F.col("least.row").alias("node")), "near-classes")
-    texts = rows.select(F.col("__sg_row").alias("node"), F.col("__sg_bag").alias("bag"), F.col("__sg_sketches").alias("sketches"), F.col("__sg_words").alias("words"))
-    firsts = rows.select("__sg_row", "__sg_sketches", F.size("__sg_words").alias("count")).join(classes.select("node"), F.col("__sg_row") == F.col("node"), "left_semi")
+    rows, sketched, named = _numbered(docs, id_column, text_column, keep_text)
+    least = F.min(F.struct(F.col(named).isNull().alias("none"), F.col(named).alias("id"), F.col("__sg_row").alias("row")))
+    classes = written(sketched.groupBy("__sg_sequence").agg(least.alias("least"), F.count(F.lit(1)).alias("n")).select("__sg_sequence", "least", "n", F.col("least.row").alias("node")), "near-classes")
+    texts = sketched.select(F.col("__sg_row").alias("node"), F.col("__sg_bag").alias("bag"), F.col("__sg_sketches").alias("sketches"), F.col("__sg_words").alias("words"))
+    firsts = sketched.select("__sg_row", "__sg_sketches", F.size("__sg_words").alias("count")).join(classes.select("node"), F.col("__sg_row") == F.col("node"), "left_semi")
     members = _members(firsts.select(F.col("__sg_row").alias("node"), "count", F.col("__sg_sketches").alias("sketches")))
     roots = written(linked_classes(members, texts, similarity), "near-roots")
+    discard(members)
 
     every = roots.select("u", "root").unionByName(roots.select(F.col("root").alias("u"), "root").distinct())
     linked = written(classes.select("node", "least").join(every, F.col("node") == F.col("u")).select("node", "least", "root"), "near-linked")
     tops = linked.groupBy("root").agg(F.min("least").alias("top")).select(F.bitwise_not("root").alias("other"), "top")
-    linked = linked.join(tops, F.bitwise_not("root") == F.col("other")).select(F.col("node").alias("u"), "top")
-    known = classes.join(linked, F.col("node") == F.col("u"), "left").select(F.reverse("__sg_sequence").alias("other"), "least", F.coalesce("top", "least").alias("top"))
-    out = rows.drop("__sg_bag", "__sg_words", "__sg_sketches").join(known, F.reverse("__sg_sequence") == F.col("other"))
-    names = [c for c in docs.columns if keep_text or c != text_column]
-    return out.select(*[F.col(f"`{c}`") for c in names], F.col("top.id").alias("class_id"), F.col("least.id").alias("copy_of"), (F.col("__sg_row") == F.col("top.row")).alias("kept"))
+    linked_to = linked.join(tops, F.bitwise_not("root") == F.col("other")).select(F.col("node").alias("u"), "top")
+    known = classes.join(linked_to, F.col("node") == F.col("u"), "left").where((F.col("n") > 1) | F.col("top").isNotNull()).select(F.reverse("__sg_sequence").alias("other"), "least", F.coalesce("top", "least").alias("top"))
+    shared = sketched.select("__sg_row", "__sg_sequence").join(known, F.reverse("__sg_sequence") == F.col("other"))
+    shared = written(shared.select(F.col("__sg_row").alias("__sg_of"), F.col("top.id").alias("__sg_class"), F.col("least.id").alias("__sg_copy"), (F.col("__sg_row") == F.col("top.row")).alias("__sg_kept")), "near-shared-rows")
+    discard(classes, roots, linked, *([sketched] if keep_text else []))
+
+    # only rows that may share a class are shuffled; the others pass straight through
+    log2_bits = bitfilter.log2_bits_for(shared.count())
+    names = [F.col(f"`{c}`") for c in docs.columns if keep_text or c != text_column]
+    probed = bitfilter.with_maybe(rows.select("__sg_row", *names), F.col("__sg_row"), bitfilter.seen(shared, "__sg_of", log2_bits), log2_bits, "__sg_maybe")
+    own = F.col(f"`{id_column}`")
+    alone = probed.where(~F.col("__sg_maybe")).select(*names, own.alias("class_id"), own.alias("copy_of"), F.lit(True).alias("kept"))
+    found = probed.where("__sg_maybe").join(shared, F.col("__sg_row") == F.col("__sg_of"), "left")
+    single = F.col("__sg_of").isNull()
+    found = found.select(*names, F.when(single, own).otherwise(F.col("__sg_class")).alias("class_id"), F.when(single, own).otherwise(F.col("__sg_copy")).alias("copy_of"), F.coalesce("__sg_kept", F.lit(True)).alias("kept"))
+    return unioned([alone, found])
