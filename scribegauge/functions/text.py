@@ -152,3 +152,20 @@ def output_text(output: Column) -> Column:
     parts = F.try_variant_get(parsed, "$.segments", "array<struct<text:string>>")
     joined = F.array_join(F.filter(F.transform(parts, lambda s: strip(s["text"])), lambda t: t != ""), " ")
     return strip(F.coalesce(F.try_variant_get(parsed, "$.text", "string"), joined, F.when(F.try_variant_get(parsed, "$", "struct<a:string>").isNull(), output), F.lit("")))
+
+
+def named_text(output: Column, names: tuple[str, ...] = ("text", "transcription", "result"), blank_counts: bool = True) -> Column:
+    """The text of a model's JSON output that names it by one of names, the first that holds a string (not an empty one
+    unless blank_counts): a plain string, an object, or a list of them, whose texts are joined by blanks. What isn't JSON,
+    or has no such name, stays as it is. Model tags go; lists within lists are taken as they are; null stays null."""
+
+    def string(v: Column) -> Column:
+        return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+
+    def one(v: Column) -> Column:
+        held = [string(F.try_variant_get(v, f"$.{n}", "variant")) for n in names]
+        return F.coalesce(string(v), *[h if blank_counts else F.nullif(h, F.lit("")) for h in held])
+
+    parsed = F.try_parse_json(output)
+    parts = F.transform(F.try_variant_get(parsed, "$", "array<variant>"), lambda v: strip_model_tags(F.coalesce(one(v), F.to_json(v))))
+    return strip_model_tags(F.coalesce(one(parsed), F.array_join(F.filter(parts, lambda t: t != ""), " "), output))

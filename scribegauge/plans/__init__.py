@@ -37,9 +37,9 @@ def score_folder(spark: SparkSession, manifest: str, references: str, prediction
 
 
 def profile(rows: DataFrame, limit: int = 20) -> DataFrame:
-    """Top counts of each category of each bucket of cases."""
+    """Top counts of each category of each bucket of cases, by bucket and category, most first."""
     grouped = rows.withColumn("bucket", cases.bucket(*[F.col(c) for c in ("case_type", "scenario", "status", "review_level")]))
     grouped = grouped.withColumn("duration", cases.duration_bucket(cases.duration(F.col("duration_sec"), F.col("start_sec"), F.col("end_sec"))))
     columns = ["language", "scenario", "source_type", "priority", "duration", "punctuation"]
     named = grouped.withColumns({c: F.concat_ws("/", "bucket", F.coalesce(F.col(c).cast("string"), F.lit("unknown"))) for c in columns})
-    return aggregate.category_counts(named, columns, limit=limit)
+    return aggregate.category_counts(named, columns, limit=limit).orderBy(F.substring_index("value", "/", 1), "category", F.desc("n"), "first_position")

@@ -79,23 +79,58 @@ def folder_bytes(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
 
 
-def read_wav(spark: SparkSession, folder: str, mean_of_channels: bool = True) -> DataFrame:
-    """(name, sample_rate, channels, duration_sec, samples array<float>) of 16-bit PCM WAV files."""
+def _wav_files(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+
+
+def wav_durations(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, sample_rate, channels, duration_sec) from the headers; no sample is decoded."""
+    import io
+    import wave
+
+    import pandas as pd
+
+    def probed(batches):
+        for batch in batches:
+            rows = []
+            for name, content in zip(batch["name"], batch["content"], strict=True):
+                with wave.open(io.BytesIO(content)) as w:
+                    rows.append((name, w.getframerate(), w.getnchannels(), w.getnframes() / w.getframerate()))
+            yield pd.DataFrame(rows, columns=["name", "sample_rate", "channels", "duration_sec"])
+
+    return _wav_files(spark, folder).mapInPandas(probed, "name string, sample_rate int, channels int, duration_sec double")
+
+
+def read_wav(spark: SparkSession, folder: str, mean_of_channels: bool = True, sample_rate: int | None = None) -> DataFrame:
+    """(name, sample_rate, channels, duration_sec, samples array<float>) of PCM WAV files of 8 to 32 bits a sample.
+
+    Samples lie between -1 and 1, as the mean of the channels or the first of them. With sample_rate given, a file of
+    another rate is an error.
+    """
     import io
     import wave
 
     import numpy as np
     import pandas as pd
 
+    def numbers(raw: bytes, width: int) -> np.ndarray:
+        if width == 1:
+            return np.frombuffer(raw, np.uint8).astype(np.float32) / 128 - 1
+        # the bytes of a sample, lowest first, become the high ones of 32 bits
+        padded = np.zeros((len(raw) // width, 4), np.uint8)
+        padded[:, 4 - width :] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+        return (padded.view("<i4").ravel() / 2.0**31).astype(np.float32)
+
     def decoded(batches):
         for batch in batches:
             rows = []
             for name, content in zip(batch["name"], batch["content"], strict=True):
                 with wave.open(io.BytesIO(content)) as w:
                     rate, channels, frames = w.getframerate(), w.getnchannels(), w.getnframes()
-                    samples = np.frombuffer(w.readframes(frames), "<i2").reshape(-1, channels).astype(np.float32) / 32768
+                    if sample_rate is not None and rate != sample_rate:
+                        raise ValueError(f"{name} has {rate} samples a second, not {sample_rate}")
+                    samples = numbers(w.readframes(frames), w.getsampwidth()).reshape(-1, channels)
                 rows.append((name, rate, channels, frames / rate, (samples.mean(axis=1) if mean_of_channels else samples[:, 0]).tolist()))
             yield pd.DataFrame(rows, columns=["name", "sample_rate", "channels", "duration_sec", "samples"])
 
-    files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    return files.mapInPandas(decoded, "name string, sample_rate int, channels int, duration_sec double, samples array<float>")
+    return _wav_files(spark, folder).mapInPandas(decoded, "name string, sample_rate int, channels int, duration_sec double, samples array<float>")

@@ -46,3 +46,19 @@ def write_json_lines(rows: DataFrame, folder: str) -> None:
 def write_subtitles(srt: DataFrame, folder: str) -> None:
     """(audio_id, srt), a folder an audio."""
     srt.select("audio_id", F.col("srt").alias("value")).write.mode("overwrite").partitionBy("audio_id").text(folder)
+
+
+def write_run_metrics(runs: DataFrame, cases: DataFrame, folder: str) -> None:
+    """A JSON document for each run: its header (run_id, ...) with the list of its cases (run_id, case_id, ...) by id.
+    A run without cases has an empty list. As the format has one document a run, use write_json_lines for endless runs."""
+    fields = [c for c in cases.columns if c != "run_id"]
+    listed = cases.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("case_id", *[c for c in fields if c != "case_id"]))).alias("cases"))
+    whole = runs.join(listed, "run_id", "left").withColumn("cases", F.coalesce("cases", F.array().cast(listed.schema["cases"].dataType)))
+    whole.drop("run_id").write.mode("overwrite").option("maxRecordsPerFile", 1).option("ignoreNullFields", "false").json(folder)
+
+
+def write_audio_manifest(clips: DataFrame, folder: str, source_manifest: str, audio_root: str, generated_by: str = "scribegauge") -> None:
+    """One JSON document: what it was made from, and the materialised clips (operators.cases.clips) by id."""
+    listed = clips.agg(F.array_sort(F.collect_list(F.struct("case_id", "audio_path", "duration_sec", "language", "hotwords"))).alias("cases"))
+    header = [F.lit(x).alias(n) for n, x in (("source_manifest", source_manifest), ("generated_by", generated_by), ("audio_root", audio_root))]
+    listed.select(*header, "cases").coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(folder)

@@ -208,3 +208,43 @@ def test_manifests_as_a_whole(spark):
     broken = lambda c, w: {r["rule"] for r in audit.manifest_violations(c, w).collect()}
     assert broken(cases, weights) == set() and broken(cases, weights.where("false")) == set()
     assert broken(cases.where("false"), weights.where("scenario = 'a'")) == {"cases", "scenario_weights"}
+
+
+def test_run_and_audio_manifests_come_back(spark, tmp_path):
+    head = spark.createDataFrame([("r1", "m", 2), ("r2", "n", 0)], "run_id string, model string, case_count long")
+    held = spark.createDataFrame([("r1", "b", 2.0, 1.0, None), ("r1", "a", 4.0, 1.0, "x")], "run_id string, case_id string, duration_sec double, infer_sec double, error string")
+    sinks.write_run_metrics(head, held, str(tmp_path / "runs"))
+    runs_read, cases_read = sources.read_runs(spark, str(tmp_path / "runs"))
+    assert sorted((r["model"], r["case_count"]) for r in runs_read.collect()) == [("m", 2), ("n", 0)]
+    assert [(r["case_id"], r["duration_sec"], r["error"]) for r in cases_read.collect()] == [("a", 4.0, "x"), ("b", 2.0, None)]
+    listed = spark.createDataFrame([("b", "ja", 0.0, 1.0, 3.5, None), ("a", "en", 2.0, None, None, ["w"])], "case_id string, language string, duration_sec double, start_sec double, end_sec double, hotwords array<string>")
+    sinks.write_audio_manifest(cases.clips(listed, "/audio/"), str(tmp_path / "audio"), "m.json", "/audio")
+    back = sources.read_audio_manifest(spark, str(tmp_path / "audio")).orderBy("position").collect()
+    assert [(r["case_id"], r["audio_path"], r["duration_sec"], r["hotwords"]) for r in back] == [("a", "/audio/a.wav", 2.0, ["w"]), ("b", "/audio/b.wav", 2.5, [])]
+
+
+def test_named_texts(spark):
+    from scribegauge.functions.text import named_text
+
+    outputs = ['"plain"', '{"text": "", "result": "r"}', '{"transcription": "t", "text": 3}', '[{"text": "a"}, "", "b", {"result": "c"}]', "not json", '{"other": 1}', None, "[]"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(outputs)], "i int, o string").select("i", named_text(F.col("o")).alias("first"), named_text(F.col("o"), ("text", "result", "transcription"), False).alias("filled")).orderBy("i").collect()
+    assert [r["first"] for r in rows] == ["plain", "", "t", "a b c", "not json", '{"other": 1}', None, ""]
+    assert [r["filled"] for r in rows] == ["plain", "r", "t", "a b c", "not json", '{"other": 1}', None, ""]
+
+
+def test_wav_widths_and_rates(spark, tmp_path):
+    import wave
+
+    values = [0.0, 0.5, -0.5]
+    for width in (1, 2, 3, 4):
+        raw = b"".join((int(v * 128) + 128).to_bytes(1, "little") if width == 1 else int(v * 2 ** (8 * width - 1)).to_bytes(width, "little", signed=True) for v in values)
+        with wave.open(str(tmp_path / f"w{width}.wav"), "wb") as w:
+            w.setnchannels(1)
+            w.setsampwidth(width)
+            w.setframerate(16000)
+            w.writeframes(raw)
+    found = sources.read_wav(spark, str(tmp_path), sample_rate=16000).collect()
+    assert len(found) == 4 and all(r["samples"] == values for r in found)
+    assert all(r["duration_sec"] == 3 / 16000 for r in sources.wav_durations(spark, str(tmp_path)).collect())
+    with pytest.raises(Exception, match="16000 samples a second, not 8000"):
+        sources.read_wav(spark, str(tmp_path), sample_rate=8000).collect()
