@@ -19,9 +19,6 @@ from pyspark.sql import functions as F
 from .common import need, text_of, without, written
 from .exact_dedup import ascii_lower
 
-#: Longer words are no words to the segmenter.
-LONGEST_WORD = 24
-
 
 @dataclass(frozen=True)
 class UrlRule:
@@ -66,20 +63,27 @@ def word_counts(texts: DataFrame, text_column: str) -> DataFrame:
     """(word, n) over all texts: runs of letters outside tags, lower-cased."""
     visible = F.lower(F.regexp_replace(text_of(text_column), r"<[^<>]*>", " "))
     words = texts.select(F.explode_outer(F.split(visible, r"[^\p{L}]+")).alias("word"))
-    return words.where((F.col("word") != "") & (F.char_length("word") <= LONGEST_WORD)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return words.where(F.col("word") != "").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def segment(label: str, counts: dict[str, int], total: int) -> list[str]:
     """The split of label into words of the highest product of unigram chances. A piece that is no counted word has
     chance 10 / (total * 10^length), so unknown stretches stay whole; ties go to the longer last word."""
     best: list[tuple[float, int]] = [(0.0, 0)]
+    lengths = sorted({len(w) for w in counts if w})
+    ten, unknown = math.log(10.0), math.log(10.0 / total)
+    # the start from which an unknown piece is best is the same for every end: its cost grows evenly with its length
+    origin, origin_value = 0, 0.0
     for end in range(1, len(label) + 1):
-        found = (-math.inf, 0)
-        for start in range(max(0, end - LONGEST_WORD), end):
-            n = counts.get(label[start:end], 0)
-            chance = math.log(n / total) if n else math.log(10.0 / total) - (end - start) * math.log(10.0)
-            found = max(found, (best[start][0] + chance, -start))
+        found = (best[origin][0] + unknown - (end - origin) * ten, -origin)
+        for n in lengths:
+            if n > end:
+                break
+            if k := counts.get(label[end - n : end], 0):
+                found = max(found, (best[end - n][0] + math.log(k / total), n - end))
         best.append((found[0], -found[1]))
+        if (value := found[0] + end * ten) > origin_value + 1e-9:
+            origin, origin_value = end, value
     words, end = [], len(label)
     while end:
         words.append(label[best[end][1] : end])
@@ -92,8 +96,11 @@ def host_words(hosts: DataFrame, counts: DataFrame) -> DataFrame:
     labels = hosts.select("host", F.posexplode_outer(F.array_remove(F.split("host", r"[^\p{L}\p{N}]+"), "")).alias("__sg_at", "label")).where(F.col("label").isNotNull())
     labels = written(labels, "url-labels")
     distinct = labels.select("label").distinct()
-    starts = F.sequence(F.lit(1), F.char_length("label"))
-    parts = F.flatten(F.transform(starts, lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), F.char_length("label") - s + 1)), lambda n: F.substring(F.col("label"), s, n))))
+    # only lengths that counted words have are looked up; no more of them than the longest label has letters
+    longest = distinct.agg(F.max(F.char_length("label"))).first()[0] or 0
+    lengths = sorted(r[0] for r in counts.select(F.char_length("word")).distinct().where(F.col("char_length(word)") <= longest).collect())
+    starts, held = F.sequence(F.lit(1), F.char_length("label")), F.array(*[F.lit(n) for n in lengths]).cast("array<int>")
+    parts = F.flatten(F.transform(starts, lambda s: F.transform(F.filter(held, lambda n: n <= F.char_length("label") - s + 1), lambda n: F.substring(F.col("label"), s, n))))
     pairs = distinct.select("label", F.explode_outer(F.array_distinct(parts)).alias("word"))
     total = max(1, counts.agg(F.sum("n").alias("n")).first()["n"] or 1)
     known = pairs.join(counts, "word", "left").groupBy("label").agg(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("word", "n"))).alias("held"))

@@ -217,7 +217,9 @@ def test_segmentation():
         cost = lambda w: math.log(counts[w] / 1000) if w in counts else math.log(10 / 1000) - len(w) * math.log(10)
         return max(cost(label[:i]) + best(label[i:]) for i in range(1, len(label) + 1))
 
-    for label in ("newsle", "lenews", "xnews", "letterle"):
+    counts["internationalisationsnewsletters"] = 5
+    assert segment("xinternationalisationsnewsletters", counts, 1000)[-1] == "internationalisationsnewsletters" and segment("q" * 3000, counts, 1000) == ["q" * 3000]
+    for label in ("newsle", "lenews", "xnews", "letterle", "qqlenewsqq", "ewletle"):
         split = segment(label, counts, 1000)
         assert "".join(split) == label and sum(math.log(counts[w] / 1000) if w in counts else math.log(0.01) - len(w) * math.log(10) for w in split) == pytest.approx(best(label))
 
