@@ -47,11 +47,13 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], total_share: float, mo
     return rows.withColumn("target", F.least("__sg_cap", F.coalesce(level, F.lit(float("inf"))) * F.col("__sg_weight"))).select("source", "source_size", "target")
 
 
-def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int = 0) -> np.ndarray:
+def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take so that their tokens come as near to the budget as can be, not above.
 
-    lengths: distinct and positive. The proportional share is rounded down; then lengths give up one more document each,
-    largest first, while that fits; the rest is a bounded knapsack.
+    lengths: distinct and positive. The proportional share of each length is rounded down, and a bounded knapsack fills
+    the rest. If it cannot fill all of it, the share gives back documents of every length, twice as many each time, and
+    the knapsack tries again with more to choose from; without a share it chooses freely, so what it then finds is the
+    optimum. A rest above MOST_CELLS first takes whole documents, largest lengths first, down to about that size.
     """
     take = np.zeros(len(lengths), dtype=np.int64)
     total = int((lengths * counts).sum())
@@ -59,37 +61,48 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int =
         return take
     if budget >= total:
         return counts.astype(np.int64)
-    take = np.minimum(counts, np.floor(counts * (budget / total)).astype(np.int64))
-    left = budget - int((take * lengths).sum())
-    order = np.argsort(-lengths, kind="stable")
-    # one bulk pass keeps the knapsack's budget small: no length can leave more than itself behind
-    for i in order:
-        room = left - MOST_CELLS
-        if room <= 0:
-            break
-        more = min(int(counts[i] - take[i]), room // int(lengths[i]))
-        take[i] += more
-        left -= more * int(lengths[i])
-    return take + _knapsack(lengths, counts - take, left)
+    # sums are multiples of the lengths' common divisor, so a rest below it can't be filled
+    unit = int(np.gcd.reduce(lengths[counts > 0]))
+    lengths, budget = lengths // unit, budget // unit
+    share = np.minimum(counts, np.floor(counts * (budget * unit / total)).astype(np.int64))
+    missed, back = budget + 1, 0
+    while True:
+        held = np.maximum(share - back, 0)
+        while int((held * lengths).sum()) > budget:  # the share's quotient was rounded up
+            held = np.maximum(held - 1, 0)
+        held = held + _bulk(lengths, counts - held, budget - int((held * lengths).sum()) - MOST_CELLS)
+        held = held + _knapsack(lengths, counts - held, budget - int((held * lengths).sum()))
+        left = budget - int((held * lengths).sum())
+        if left < missed:
+            take, missed = held, left
+        if missed == 0 or back >= share.max():
+            return take
+        back = max(1, 2 * back)
+
+
+def _bulk(lengths: np.ndarray, counts: np.ndarray, room: int) -> np.ndarray:
+    """Whole documents that fit in room, largest lengths first."""
+    take = np.zeros(len(lengths), dtype=np.int64)
+    for i in np.argsort(-lengths, kind="stable") if room > 0 else ():
+        take[i] = min(int(counts[i]), room // int(lengths[i]))
+        room -= int(take[i]) * int(lengths[i])
+    return take
 
 
 def _knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """Bounded subset sum: the largest sum up to the budget. Sets of reachable sums are the bits of one integer; counts
-    are split into powers of two. A copy of the set is kept for each part, so the taken parts can be read back."""
+    are split into powers of two. The set before each part that added to it is kept, so the taken parts can be read back."""
     take = np.zeros(len(lengths), dtype=np.int64)
     usable = [i for i in range(len(lengths)) if counts[i] > 0 and lengths[i] <= budget]
     reach, mask, steps = 1, (1 << (budget + 1)) - 1, []
     for i in sorted(usable, key=lambda i: int(lengths[i])):
         left, part = min(int(counts[i]), budget // int(lengths[i])), 1
-        while left > 0:
+        while left > 0 and not reach >> budget & 1:
             part = min(part, left)
             grown = (reach | reach << part * int(lengths[i])) & mask
-            steps.append((i, part, reach))
+            if grown != reach:
+                steps.append((i, part, reach))
             reach, left, part = grown, left - part, part * 2
-            if reach >> budget & 1:
-                left = 0
-        if reach >> budget & 1:
-            break
     at = reach.bit_length() - 1
     for i, part, earlier in reversed(steps):
         if not earlier >> at & 1:

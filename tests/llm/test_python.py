@@ -275,8 +275,8 @@ def test_language_held_out(spark, small):
 
 def test_subset_sums():
     rng = np.random.default_rng(1)
-    for _ in range(60):
-        lengths = np.unique(rng.integers(1, 60, rng.integers(1, 6)))
+    for k in range(300):
+        lengths = np.unique(np.append(rng.integers(1, 60, rng.integers(1, 6)) * (1 + k % 3), [6000][: k % 2]).astype(np.int64))
         counts = rng.integers(1, 6, len(lengths))
         sums = {0}
         for n, c in zip(lengths, counts, strict=True):
@@ -284,8 +284,9 @@ def test_subset_sums():
         budget = int(rng.integers(0, (lengths * counts).sum() + 10))
         take = fit_counts(lengths, counts, budget)
         assert (take >= 0).all() and (take <= counts).all()
-        got, most = int((take * lengths).sum()), max(s for s in sums if s <= budget)
-        assert got <= budget and most - got <= lengths.max()
+        assert int((take * lengths).sum()) == max(s for s in sums if s <= budget)
+    many = np.arange(1, 20_000)
+    assert int((fit_counts(many, np.full(len(many), 3), 123_456_789) * many).sum()) == 123_456_789
 
 
 def test_mixing(spark):
