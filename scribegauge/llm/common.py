@@ -67,6 +67,15 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone and not c.lower().startswith(OWN)])
 
 
+def rows_kept(docs: DataFrame, keep: Callable[[DataFrame], DataFrame], *needed: str) -> DataFrame:
+    """The rows that keep() leaves of docs, with docs' own columns. Those that it doesn't need are renamed on the way, so
+    that none of its outputs replaces one of the same name."""
+    names = {n.lower() for n in needed}
+    aside = {c: c if c.lower() in names else f"in_{i}" for i, c in enumerate(docs.columns)}
+    kept = keep(docs.select(*[F.col(f"`{c}`").alias(a) for c, a in aside.items()]))
+    return kept.select(*[F.col(f"`{a}`").alias(c) for c, a in aside.items()])
+
+
 def need(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n.lower() not in {c.lower() for c in df.columns}]
     if missing:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField
 
-from .common import crc_of, need, with_python, without, written
+from .common import crc_of, need, rows_kept, with_python, without, written
 from .grams import codepoints
 
 ORDER = 4
@@ -322,7 +322,8 @@ def identify(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     return with_python(rows, text_column, judged, fields, keep_text)
 
 
-def keep_identified(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that identify() does not reject, with docs' columns."""
-    docs = without(docs)
-    return identify(docs, **options).where(~F.col("rejected")).select(*[F.col(f"`{c}`") for c in docs.columns])
+def keep_identified(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", **options) -> DataFrame:
+    """The rows of docs that identify() does not reject, with docs' columns and their values, whatever their names."""
+    need(docs, id_column, text_column, lang_column)
+    judged = lambda rows: identify(rows, id_column, text_column, lang_column, **options).where(~F.col("rejected"))
+    return rows_kept(without(docs), judged, id_column, text_column, lang_column)

@@ -243,7 +243,13 @@ def read_warc(spark: SparkSession, path: str, keep_payload: bool = True) -> Data
 
 
 def round_trip(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html", least_bytes: int = 0, keep_payload: bool = True) -> DataFrame:
-    """Write pages as WARC files into the shared folder and read them back."""
+    """Write pages as WARC files into the shared folder and read them back: read_warc()'s columns, a row for each of pages.
+
+    A null payload is an empty one, a null url an empty target. Of equal payloads of at least least_bytes that of the
+    smallest id is the response (a null id is above all others; of rows that repeat the id exactly one is), the others
+    revisit it. Very long payloads are cut into segments and come back whole. An empty table gives no rows. Other columns
+    of pages are left out.
+    """
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
     write_warc(without(pages), path, id_column, url_column, payload_column, least_bytes)
