@@ -6,15 +6,15 @@ it kept, and lineage ends between stages.
 
 Cases: null and empty texts have no language, so the first stage drops them; repeated rows are exact copies, of which
 one stays; very long texts are read whole; ties are settled as each operator states; an empty table gives no rows; other
-columns of documents pass through (one named as an output of the last stage is replaced).
+columns of documents pass through, also those that are named as an operator's output (one named as an output of the
+last stage is replaced).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from scribegauge.llm.common import table, written
+from scribegauge.llm.common import rows_kept, table, written
 from scribegauge.llm.decontaminate import decontaminate
 from scribegauge.llm.exact_dedup import exact_dedup
 from scribegauge.llm.language_id import keep_identified
@@ -22,10 +22,6 @@ from scribegauge.llm.mixing import mix_sources
 from scribegauge.llm.near_dedup import near_dedup
 
 
-def _only(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language models reject go."""
     return keep_identified(docs)
@@ -33,12 +29,12 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one document stays."""
-    return _only(exact_dedup(docs).where("kept"), docs)
+    return rows_kept(docs, lambda rows: exact_dedup(rows).where("kept"), "doc_id", "text")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates one document stays."""
-    return _only(near_dedup(docs).where("kept"), docs)
+    return rows_kept(docs, lambda rows: near_dedup(rows).where("kept"), "doc_id", "text")
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +55,7 @@ STAGES = [
     ("source_mixing", mixing_stage),
 ]
 
-#: Language models, sketches and the seeded mix are beyond SQL; tests compare the run with brute-force versions of its stages.
+#: Language models, sketches and the seeded mix are beyond SQL; a test compares the run with plain versions of its stages.
 ORACLE_SQL = None
 
 
