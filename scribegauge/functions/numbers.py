@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType
 
 from .text import IDEOGRAPHS, SPACES, _nfkc, nfkc_all, normalize, replace_matches, strip, strip_events, without_spaces
 
@@ -31,6 +31,12 @@ def bound(value: Column, make) -> Column:
     return F.get(F.transform(F.array(value), make), F.lit(0))
 
 
+def computed(df: DataFrame) -> DataFrame:
+    """df, whose columns Spark computes here, once, and does not put into the expressions that use them: projections are
+    not merged across a generator, here of one row. Columns that nobody reads are still left out."""
+    return df.select("*", F.explode(F.array(F.lit(0))).alias("__one")).drop("__one")
+
+
 def _digits(numerals: Column) -> Column:
     return F.translate(numerals, NUMERALS, DIGITS)
 
@@ -113,7 +119,7 @@ def join_spoken_digits(text: Column) -> Column:
 def extract_numbers(text: Column, nfkc: bool = True, events: bool = True) -> Column:
     """array<string> of the numbers in a raw text, in order."""
     normal = normalize(text, keep_punctuation=True, nfkc=nfkc, events=events)
-    joined = F.when(normal.rlike(SPOKEN_DIGITS), join_spoken_digits(normal)).otherwise(normal)
+    joined = bound(normal, lambda n: F.when(n.rlike(SPOKEN_DIGITS), join_spoken_digits(n)).otherwise(n))
     return F.filter(F.transform(F.regexp_extract_all(joined, F.lit(TOKEN), F.lit(0)), number_token), lambda x: x.isNotNull() & (x != ""))
 
 
@@ -142,23 +148,21 @@ def near_misses(forms: list[str], compact: str, numbers: list[str]) -> float:
     return max([0.0, *scores, *(SequenceMatcher(None, f, n).ratio() for f in forms for n in set(numbers))])
 
 
-def with_near_misses(df: DataFrame, forms: str, compact: str, numbers: str, name: str) -> DataFrame:
-    """df plus the near misses of each target's forms, as an array. A step of its own, not a function in an expression:
-    so Spark neither repeats it nor moves it into other expressions."""
-    schema = StructType([*df.schema.fields, StructField(name, ArrayType(DoubleType()))])
+@F.pandas_udf(ArrayType(DoubleType()))
+def _near_misses(forms: pd.Series, compact: pd.Series, numbers: pd.Series) -> pd.Series:
+    listed = lambda a: [] if a is None else list(a)
+    return pd.Series([None if f is None else [near_misses(listed(t), c or "", listed(n)) for t in f] for f, c, n in zip(forms, compact, numbers, strict=True)], dtype=object)
 
-    def mapped(batches):
-        for batch in batches:
-            rows = zip(*[batch.column(c).to_pylist() for c in (forms, compact, numbers)], strict=True)
-            made = [None if f is None else [near_misses(t or [], c or "", n or []) for t in f] for f, c, n in rows]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.list_(pa.float64()))], names=[*batch.schema.names, name])
 
-    return df.mapInArrow(mapped, schema)
+def with_near_misses(df: DataFrame, forms: str, compact: str, numbers: str, name: str) -> DataFrame:
+    """df plus the near misses of each target's forms, as an array, computed once."""
+    return computed(computed(df).withColumn(name, _near_misses(F.col(forms), F.col(compact), F.col(numbers))))
 
 
-def math_normal(text: Column) -> Column:
+def math_normal(text: Column, nfkc: bool = True, events: bool = True) -> Column:
     """Spoken and written arithmetic in one notation, without spaces or other marks."""
-    out = F.lower(_nfkc(strip_events(text)))
+    out = strip_events(text) if events else text
+    out = F.lower(_nfkc(out) if nfkc else out)
     out = F.translate(out, "＊*x", "×××")
     out = replace_matches(out, NUMERAL_RUN, lambda m: F.coalesce(chinese_integer(m), m))
     gap = f"[{SPACES}]*"

@@ -45,6 +45,11 @@ def strip_events(text: Column) -> Column:
     return F.regexp_replace(text, r"\[[^\]]+\]", " ")
 
 
+def plain(text: Column, nfkc: bool = True) -> Column:
+    """Events out, and NFKC: what normalize(), extract_numbers() and math_normal() all begin with."""
+    return _nfkc(strip_events(text)) if nfkc else strip_events(text)
+
+
 def normalize(text: Column, keep_punctuation: bool = False, nfkc: bool = True, events: bool = True) -> Column:
     """Events out, NFKC, lower case, marks to spaces (unless kept), single spaces. nfkc: false if texts are known stable;
     events: false if they are out already."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -86,8 +88,11 @@ def error_rate(reference: Column, hypothesis: Column, distance: Column) -> Colum
 
 
 def repetition_rate(tokens: Column, n: int = 4) -> Column:
-    """Share of n-grams that repeat an earlier one; 0 for fewer than 2n tokens."""
-    grams, made = F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), "\x00")), F.size(tokens) - (n - 1)
+    """Share of n-grams that repeat an earlier one; 0 for fewer than 2n tokens. The grams are made from n shifted copies of
+    the tokens: a slice copies its whole array, so one for each gram would take time by the square of the tokens."""
+    made = F.size(tokens) - (n - 1)
+    shifted = lambda i: F.slice(tokens, F.lit(i + 1), F.greatest(made, F.lit(0)))
+    grams = reduce(lambda done, i: F.zip_with(done, shifted(i), lambda a, b: F.concat_ws("\x00", a, b)), range(1, n), shifted(0))
     return F.when(F.size(tokens) >= 2 * n, (made - F.size(F.array_distinct(grams))) / made).otherwise(0.0)
 
 

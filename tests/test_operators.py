@@ -248,3 +248,34 @@ def test_wav_widths_and_rates(spark, tmp_path):
     assert all(r["duration_sec"] == 3 / 16000 for r in sources.wav_durations(spark, str(tmp_path)).collect())
     with pytest.raises(Exception, match="16000 samples a second, not 8000"):
         sources.read_wav(spark, str(tmp_path), sample_rate=8000).collect()
+
+
+def test_records_compute_each_text_once(spark, small):
+    """Expressions that Spark puts into all that uses them make plans that grow by powers: numbers are extracted from a
+    reference and a prediction of three kinds, and read from the targets, once each; no column is computed by a huge expression."""
+    plan = queries.score_records(spark, small)._jdf.queryExecution().optimizedPlan()
+    nodes, sizes, extracted = [plan], [], 0
+    while nodes:
+        node = nodes.pop()
+        made = [node.expressions().apply(i).sql() for i in range(node.expressions().size())]
+        sizes += map(len, made)
+        extracted += sum(m.count("[一二三四五六七八九十百千万亿零〇两点]+") for m in made)
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    assert extracted == 7 and max(sizes) < 30_000
+
+
+def test_repetition_of_many_tokens(values):
+    """One slice for each of n copies, not for each gram: 200,000 tokens would take 40 thousand million steps."""
+    tokens = [str(i % 50_000) for i in range(200_000)]
+    assert values([(tokens,)], "a array<string>", T.repetition_rate(F.col("a"))) == [pytest.approx((199_997 - 50_000) / 199_997)]
+
+
+def test_texts_that_a_variant_changes_are_scored_anew(spark):
+    """A change of one text of a pair, or of none: the variant's scores are those of the changed pair, or the case's own."""
+    texts = [("the cat sat (あ)", "the cat sat"), ("the cat", "that cat"), ("a dog", "a dig"), ("", "x"), (None, "x")]
+    rows = [(str(i), "s", "ja", "p", 1.0, "cer", "ready", None, "normal", ["cat"], ["12"], ["cat"], [["the", "that"]], None, None, a, b) for i, (a, b) in enumerate(texts)]
+    found = {r["case_id"]: r for r in scores.score_cases(spark.createDataFrame(rows, CASE)).collect()}
+    rates = lambda name: [found[str(i)][name] and round(found[str(i)][name], 6) for i in range(5)]
+    assert rates("japanese_furigana_stripped_primary_error_rate") == [0.0, round(2 / 6, 6), 0.25, 1.0, None]
+    assert rates("japanese_orthographic_alias_primary_error_rate") == [0.0, 0.0, 0.25, 1.0, None]
+    assert found["2"]["japanese_orthographic_alias_text_score_90"] == found["2"]["text_score_90"] and found["1"]["japanese_orthographic_alias_delta_text_score_90"] > 0
